@@ -127,6 +127,8 @@ class SegLog(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known and lets it take filters, on the shard, before it reads."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SegLog)
 
 
