@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidelog.plans import registry
@@ -20,8 +21,14 @@ def duck():
     return con
 
 
+def plain(v):
+    if pd.isna(v):
+        return None
+    return (int(v) if v == int(v) else round(v, 9)) if isinstance(v, float) else v
+
+
 def rows(df, cols):
-    return sorted((tuple(None if v != v else round(v, 9) if isinstance(v, float) else v for v in r) for r in df[cols].astype(object).itertuples(index=False)), key=str)
+    return sorted((tuple(map(plain, r)) for r in df[cols].astype(object).itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - TIED))
