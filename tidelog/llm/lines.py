@@ -86,7 +86,7 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 4, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped added; doc_id and text are read, other columns pass through."""
+    """doc (a struct of the input's columns, whatever their names), kept_text, n_lines, n_dropped."""
     spark = docs.sparkSession
     runs = LineRuns(spark, fanout=fanout, min_chars=min_chars, min_docs=min_docs)
     own = docs.select("doc_id", "text")
@@ -96,22 +96,17 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 4, min_chars: i
     runs.verdicts().write.parquet(at)
     doomed = maybe_broadcast(spark.read.parquet(at), 200_000)
     hits = keyed_lines(own, min_chars).join(doomed, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    hits = hits.groupBy(F.col("doc_id").alias("_hit")).agg(F.collect_set("h1").alias("_lost"))
-    lines = split_lines(F.col("text"))
-    d = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left").drop("_hit").withColumn("_lines", lines)
-    stays = F.filter("_lines", lambda x: (F.char_length(F.trim(x, F.lit(BLANKS))) < min_chars) | ~F.array_contains(F.col("_lost"), F.xxhash64(line_key(x))))
-    d = d.withColumn("_kept", F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(stays))
-    return (
-        d.withColumn("kept_text", F.array_join("_kept", "\n"))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", (F.size("_lines") - F.size("_kept")).cast("long"))
-        .drop("_lines", "_kept", "_lost")
-    )
+    hits = hits.groupBy(F.col("doc_id").alias("hit")).agg(F.collect_set("h1").alias("lost"))
+    d = docs.select(F.struct(*docs.columns).alias("doc")).join(hits, F.col("doc.doc_id").eqNullSafe(F.col("hit")), "left")
+    d = d.select("doc", "lost", split_lines(F.col("doc.text")).alias("lines"))
+    stays = F.filter("lines", lambda x: (F.char_length(F.trim(x, F.lit(BLANKS))) < min_chars) | ~F.array_contains(F.col("lost"), F.xxhash64(line_key(x))))
+    d = d.withColumn("kept", F.when(F.col("lost").isNull(), F.col("lines")).otherwise(stays))
+    return d.select("doc", F.array_join("kept", "\n").alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 SQL = r"""

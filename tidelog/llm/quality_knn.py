@@ -34,8 +34,8 @@ THRESHOLD = 0.7
 REMEMBERED = 300_000
 
 
-def held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+def held_out(doc_id: F.Column) -> F.Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def shape(word: str) -> str:
@@ -159,7 +159,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Space:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
-    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("_label"))
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("_label"))
     # A top-k by hash: at most `sample` ids, whatever the number of labels.
     chosen = usable.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
@@ -168,12 +168,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from: DataFrame | None = None) -> DataFrame:
-    """docs with score (0 to 1) added; doc_id and text are read, other columns pass through.
+    """doc (a struct of the input's columns, whatever their names) and score (0 to 1).
 
     learn_from: documents that the labels speak of, if not docs."""
     spark = docs.sparkSession
     space = spark.sparkContext.broadcast(learn(docs if learn_from is None else learn_from, labels, sample))
-    at = docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -181,13 +180,14 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_fro
         own = space.value
         own.known = {}
         for batch in batches:
-            score = own.score(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "_score"])
+            doc = batch.column(0)
+            yield pa.RecordBatch.from_arrays([doc, pa.array(own.score(doc.field("text").to_pylist()), pa.float64())], ["doc", "score"])
 
-    return docs.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    return rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).schema)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = classify(docs, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

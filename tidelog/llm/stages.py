@@ -22,21 +22,20 @@ MAX_IDS = 500_000
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but for those of the given doc_id."""
     gone = maybe_broadcast(materialize(ids.filter("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone"), MAX_IDS)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return classify(docs, table(spark, sf_dir, "labels")).filter(F.col("_score") >= THRESHOLD).drop("_score")
+    return classify(docs, table(spark, sf_dir, "labels")).filter(F.col("score") >= THRESHOLD).select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common lines go; a document that loses all its text this way goes too."""
+    """Common lines go, n_chars follows; a document that loses all its text this way goes too."""
     out = dedup_lines(docs).filter((F.col("n_dropped") == 0) | (F.col("kept_text") != ""))
-    cols = {"text": F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))}
-    if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("kept_text").cast(docs.schema["n_chars"].dataType))
-    return out.withColumns(cols).select(*docs.columns)
+    same = F.col("n_dropped") == 0
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text")}
+    return out.select(*[F.when(same, F.col("doc")[c]).otherwise(new[c].cast(docs.schema[c].dataType)).alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
