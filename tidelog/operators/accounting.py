@@ -191,3 +191,14 @@ def prometheus_text(series: DataFrame) -> DataFrame:
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(F.regexp_replace(e["value"], r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
     return series.select(F.concat(F.col("name"), labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def page_gaps(pages: DataFrame) -> DataFrame:
+    """Time between the starts of a listing's pages: listing, page, gap."""
+    order = W.partitionBy("listing").orderBy("page")
+    return pages.withColumn("gap", F.lead("s").over(order) - F.col("s")).filter("gap is not null").select("listing", "page", "gap")
+
+
+def backfill_summary(backfills: DataFrame) -> DataFrame:
+    """Without the timeline and the counts by component."""
+    return backfills.drop("timeline", "components")

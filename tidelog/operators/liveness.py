@@ -92,3 +92,15 @@ def epoch_holds(claims: DataFrame) -> DataFrame:
     before = W.partitionBy("object").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     t = claims.withColumn("won", F.col("epoch") > F.coalesce(F.max("epoch").over(before), F.lit(-1)))
     return t.withColumn("holder", F.col("won") & (F.col("epoch") == F.max("epoch").over(W.partitionBy("object"))))
+
+
+def heard_members(members: DataFrame, heard: DataFrame, me: str, now_us: int, within_us: int) -> DataFrame:
+    """Members that a viewer heard for less than `within`, itself included, with the incarnation last heard."""
+    own = heard.filter(F.col("viewer") == me).select(F.col("peer").alias("node_id"), "incarnation", "heard_us")
+    fresh = (F.lit(now_us) - F.col("heard_us") < within_us) | (F.col("node_id") == me)
+    return members.join(own, "node_id", "left").filter(F.coalesce(fresh, F.lit(False))).select("node_id", "incarnation")
+
+
+def dead_without_ranges(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """Dead members that own no range any more."""
+    return members.filter("liveness = 'dead'").join(heads, ["node_id", "incarnation"], "left_anti")

@@ -257,3 +257,8 @@ def readable(ranges: DataFrame, alive: DataFrame, positions: DataFrame, least: i
     out = ranges.join(up, ["node_id", "incarnation"]).join(at, ["range", "node_id", "incarnation"])
     rank = F.row_number().over(W.partitionBy("range").orderBy(F.when(F.col("role") == "owner", 0).otherwise(1), "ord", "node_id"))
     return out.withColumn("rank", rank.cast("long"))
+
+
+def is_split(parents: Column) -> Column:
+    """A reshard with one parent is a split, with two a merge."""
+    return F.size(parents) == 1
