@@ -97,3 +97,15 @@ def test_asof_directions_and_ties(spark):
 def test_strictly_rising_seqs(spark):
     r = spark.createDataFrame([(3, i, us) for i, us in enumerate([10, 10, 9, 50])], "writer long, i long, us long")
     assert [x["seq"] for x in L.assign_seqs(r).orderBy("i").collect()] == [10 << 8 | 3, 11 << 8 | 3, 12 << 8 | 3, 50 << 8 | 3]
+
+
+def test_asof_carries_over_ranges(spark):
+    """Long stretches without a right row, either way."""
+    left = spark.range(0, 1000, 3).selectExpr("id", "id as t")
+    right = spark.createDataFrame([(50, 1), (51, 2), (700, 3)], "t long, v long")
+    back = lambda t: 3 if t >= 700 else 2 if t >= 51 else 1 if t >= 50 else None
+    ahead = lambda t: 1 if t <= 50 else 2 if t <= 51 else 3 if t <= 700 else None
+    for direction, want in (("backward", back), ("forward", ahead)):
+        got = asof_join(left, right, "t", "t", direction=direction, values=["v"], parts=7).collect()
+        assert len(got) == 334
+        assert all((r["match"] and r["match"]["v"]) == want(r["t"]) for r in got)

@@ -6,22 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import range_of
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, direction: str = "backward", values: list[str] | None = None) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, direction: str = "backward", values: list[str] | None = None, parts: int = 64) -> DataFrame:
     """left with, as a struct `match`, the right row nearest by right_on: at most left_on (backward) or at
-    least (forward). Null where there is none; of right rows at the same place, the greatest in `values`.
+    least (forward). Null where there is none or the place is null; of right rows at the same place, the greatest in `values`.
 
-    Both sides are united and swept once by a window over `by`. Without `by` all rows are one group, which
-    suits small sides only; give hot groups a coarser and a finer key of their own."""
+    Both sides are united and swept once. With `by` that is a window over the keys. Without, rows are dealt
+    by ranges of the place, swept in each, and what a range leaves open is what the nearest range beside it
+    that has a right row ends with: one row a range is carried over, and no task sees all rows."""
     by = by or []
     values = values or [c for c in right.columns if c not in by]
+    back = direction == "backward"
     row = F.struct(*left.columns)
-    one = left.select(*by, F.col(left_on).alias("_at"), F.lit(1 if direction == "backward" else 0).alias("_side"), row.alias("_row"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_value"))
-    two = right.select(*by, F.col(right_on).alias("_at"), F.lit(0 if direction == "backward" else 1).alias("_side"), F.lit(None).cast(left.select(row).schema[0].dataType).alias("_row"), F.struct(*values).alias("_value"))
-    order: list[Column] = [F.col("_at"), F.col("_side"), F.col("_value")]
-    frame = W.partitionBy(*by).orderBy(*(order if direction == "backward" else [c.desc() for c in order]))
-    frame = frame.rowsBetween(W.unboundedPreceding, 0)
-    if direction == "forward":  # among equals the last one seen first must be the greatest
-        frame = W.partitionBy(*by).orderBy(F.col("_at").desc(), F.col("_side").desc(), F.col("_value").asc()).rowsBetween(W.unboundedPreceding, 0)
-    both = one.unionByName(two).withColumn("match", F.last("_value", ignorenulls=True).over(frame))
-    return both.filter("_row is not null").select("_row.*", "match")
+    none = lambda df, c: F.lit(None).cast(df.select(c).schema[0].dataType)
+    one = left.select(*by, F.col(left_on).alias("_at"), F.lit(1 if back else 0).alias("_side"), row.alias("_row"), none(right, F.struct(*values)).alias("_value"))
+    two = right.select(*by, F.col(right_on).alias("_at"), F.lit(0 if back else 1).alias("_side"), none(left, row).alias("_row"), F.struct(*values).alias("_value"))
+    both = one.unionByName(two)
+    # Of equals the one swept last must be the greatest, either way.
+    order = [F.col("_at"), F.col("_side"), F.col("_value")] if back else [F.col("_at").desc(), F.col("_side").desc(), F.col("_value")]
+    swept = lambda keys: F.last("_value", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    placed = lambda c: F.when(F.col("_at").isNotNull(), c if isinstance(c, Column) else F.col(c))
+    if by:
+        return both.withColumn("match", swept(by)).filter("_row is not null").select("_row.*", placed("match").alias("match"))
+    dealt = both.withColumn("_p", range_of(both.select("_at"), "_at", parts))
+    ends = dealt.filter("_value is not null").groupBy("_p").agg((F.max if back else F.min)("_at").alias("_end")).alias("e")
+    ends = dealt.alias("d").filter("_value is not null").join(F.broadcast(ends), (F.col("d._p") == F.col("e._p")) & (F.col("d._at") == F.col("e._end"))).groupBy(F.col("d._p").alias("_p")).agg(F.max("d._value").alias("_last"))
+    every = left.sparkSession.range(parts).select(F.col("id").cast("int").alias("_p")).join(ends, "_p", "left")
+    beside = W.orderBy("_p" if back else F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)
+    carried = every.select("_p", F.last("_last", ignorenulls=True).over(beside).alias("_carried"))
+    out = dealt.withColumn("match", swept(["_p"])).filter("_row is not null").join(F.broadcast(carried), "_p")
+    return out.select("_row.*", placed(F.coalesce("match", "_carried")).alias("match"))

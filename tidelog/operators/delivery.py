@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import wire_bytes
 from .asof import asof_join
+from .ranges import range_of
 
 
 def accept(log: DataFrame, emitted: int = 0, start_floor: int = 0) -> DataFrame:
@@ -33,10 +34,10 @@ def release(pending: DataFrame, watermarks: DataFrame) -> DataFrame:
 def renumber(rows: DataFrame, key: str = "seq", anchor: int = 0, parts: int = 64) -> DataFrame:
     """Adds number = anchor + rank by key, counting from 1, without a window over all rows: rows are dealt
     by ranges of the key, counted in each and offset by the counts before."""
-    dealt = rows.repartitionByRange(parts, F.col(key)).withColumn("_p", F.spark_partition_id())
-    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(key)))
-    counts = ranked.groupBy("_p").agg(F.max("_r").alias("_n"))
+    dealt = rows.withColumn("_p", range_of(rows, key, parts))
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", (F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
+    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(key)))
     return ranked.join(F.broadcast(before), "_p").withColumn("number", F.col("_before") + F.col("_r") + anchor).drop("_p", "_r", "_before")
 
 
