@@ -1,20 +1,23 @@
 """N-gram Jaccard join: a size-aware, heavy-light join on the exact similarity of shingle sets.
 
 Texts with the same set are one class; links are sought between classes. All tasks order shingles alike:
-by hash, after that those that many texts hold (counted over all texts). Overlap filters then hold as they
+by hash, after that those that many texts hold (counted over all texts), the rarest of them first. Overlap filters then hold as they
 do for any common order:
 
 * A small set enumerates the c-subsets (c = 2) of its first n - o + c shingles, o the least overlap with a
   partner; two small sets that link share a subset.
 * A large set posts its first n - o + 1 shingles to inverted lists, and so do small sets big enough for a
-  large partner; two that link meet in a list. How often they meet bounds their overlap from above.
+  large partner; two that link meet in a list. A meeting counts only if the shingles from there on could
+  still be enough for both, which that at the first common one fulfils; how many count, and what is left
+  after the last of them, bounds the overlap from above.
 * The boundary between small and large is where a set's subsets cost more than scanning its lists would,
   by the mean length of lists in the input.
 
-Lists of more than `LONG` classes occur where near copies are many. There, classes are first linked along
-the list (each with the one before and with the first), which joins near copies into components; of such
-a list only pairs between its largest component and the rest, and within the rest, are still compared.
-So no list makes all its pairs, and no pair of different components is lost.
+Lists of more than `LONG` classes occur where near copies are many. Their classes are first compared with
+a few pivots, those of the list that are in most long lists (near copies with few changes are), which joins
+near copies into components; of such a list only pairs between its largest component and the rest, and
+within the rest, are still compared. So no list makes all its pairs, and no pair of different components
+is lost.
 
 Candidates are verified on their full sets, streamed past one of the two, whose partners are salted.
 
@@ -30,12 +33,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, maybe_broadcast
 from .components import components
+from .shingles import digests, mixed, shingle_sets
 
 WIDTH = 5
 #: Jaccard similarity of at least NUM / DEN.
@@ -44,6 +49,8 @@ SUBSET = 2
 #: A shingle of so many texts is common; at most so many common shingles are broadcast, the most common ones.
 COMMON, MAX_COMMON = 50, 1_000_000
 LONG = 64
+#: Steps along long lists that are verified for each class.
+STEPS = 4
 #: Bits of a shingle's hash that are counted, and how many counts are sent on at once.
 COUNT_BITS, COUNT_ROWS = 40, 2_000_000
 #: Partners of one set that are verified in one task.
@@ -64,14 +71,11 @@ def compatible(n, m):
     return (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
 
 
-def count_common(docs: DataFrame) -> tuple[list[int], float]:
-    """(hashes, cut to COUNT_BITS, of the common shingles, sorted; mean length of the other lists)."""
-    from .shingles import shingle_sets
-
+def count_common(docs: DataFrame) -> tuple[list[tuple[int, int]], float]:
+    """(hash cut to COUNT_BITS and texts of each common shingle, sorted; mean length of the other lists)."""
     parts = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         held, size = [], 0
@@ -95,7 +99,6 @@ def count_common(docs: DataFrame) -> tuple[list[int], float]:
             yield packed()
 
     def add(key, rows):
-        import numpy as np
         import pandas as pd
         import pyarrow as pa
 
@@ -119,8 +122,8 @@ def count_common(docs: DataFrame) -> tuple[list[int], float]:
     sent = docs.select("text").mapInArrow(count, "bucket int, n long, gaps binary, times binary")
     found = materialize(sent.groupBy("bucket").applyInPandas(add, "token long, n long, square double"), "common")
     rest = found.filter("token = -1").agg(F.sum("n"), F.sum("square")).first()
-    top = found.filter("token >= 0").orderBy(F.desc("n"), "token").limit(MAX_COMMON).select("token").collect()
-    return sorted(r[0] for r in top), (rest[1] / rest[0] if rest[0] else 1.0)
+    top = found.filter("token >= 0").orderBy(F.desc("n"), "token").limit(MAX_COMMON).select("token", "n").collect()
+    return sorted((r[0], r[1]) for r in top), (rest[1] / rest[0] if rest[0] else 1.0)
 
 
 def boundary(mean_list: float) -> int:
@@ -134,18 +137,15 @@ def boundary(mean_list: float) -> int:
     return n
 
 
-def keys(docs: DataFrame, common: list[int], x: int) -> DataFrame:
-    """key, node, n, rest: what each set posts. rest: shingles beyond those posted, -1 for keys of subsets."""
-    import numpy as np
-
-    from .shingles import digests, mixed, shingle_sets
-
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(common, np.uint64))
+def keys(docs: DataFrame, common: list[tuple[int, int]], x: int) -> DataFrame:
+    """key, node, n, pos: what each set posts. pos: twice the shingle's place in the set's order; for a subset,
+    that before its last shingle's, and 1 more to tell it apart."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.array([t for t, _ in common], np.uint64), np.array([n for _, n in common], np.int64)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        late = shared.value
+        late, texts = shared.value
         met: set[tuple[int, int]] = set()
         for batch in batches:
             out: list[tuple] = []
@@ -161,70 +161,74 @@ def keys(docs: DataFrame, common: list[int], x: int) -> DataFrame:
                 if len(late):
                     cut = s >> np.uint64(64 - COUNT_BITS)
                     at = np.searchsorted(late, cut)
-                    last = late[np.minimum(at, len(late) - 1)] == cut
-                    s = np.concatenate([s[~last], s[last]])
+                    at = np.minimum(at, len(late) - 1)
+                    last = late[at] == cut
+                    if last.any():
+                        s = np.concatenate([s[~last], s[last][np.lexsort((s[last], texts[at[last]]))]])
                 if n <= x:
                     p = s[: prefix_length(n, SUBSET)].tolist()
-                    k = np.array([(min(a, b) * 0x9E3779B97F4A7C15 + max(a, b)) & 0xFFFFFFFFFFFFFFFF for a, b in combinations(p, 2)], np.uint64)
-                    out.append((mixed(k), d[0], n, -1))
+                    two = [(min(a, b) * 0x9E3779B97F4A7C15 + max(a, b), 2 * i - 1) for i, b in enumerate(p) for a in p[:i]]
+                    out.append((mixed(np.array([k & 0xFFFFFFFFFFFFFFFF for k, _ in two], np.uint64)), d[0], n, np.array([i for _, i in two], np.int32)))
                 if n > x or n * DEN >= (x + 1) * NUM:
                     p = prefix_length(n)
-                    out.append((s[:p], d[0], n, n - p))
+                    out.append((s[:p], d[0], n, 2 * np.arange(p, dtype=np.int32)))
             if out:
                 times = [len(o[0]) for o in out]
-                cols = [np.concatenate([o[0] for o in out]).view(np.int64), *[np.repeat(np.array([o[k] for o in out], kind), times) for k, kind in ((1, np.int64), (2, np.int32), (3, np.int32))]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "n", "rest"])
+                cols = [np.concatenate([o[0] for o in out]).view(np.int64), *[np.repeat(np.array([o[k] for o in out], kind), times) for k, kind in ((1, np.int64), (2, np.int32))], np.concatenate([o[3] for o in out])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "n", "pos"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, n int, pos int")
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n int, rest int")
+
+def promising(n, m, i, j, least):
+    """Whether sets of n and m shingles, with i and j of them before a common one, could be similar if they
+    have no common one before. least: minimum() of the types at hand."""
+    return (DEN + NUM) * least(n - i, m - j) >= NUM * (n + m)
 
 
 def list_pairs(posted: DataFrame) -> DataFrame:
-    """The pairs of compatible sizes of lists of up to LONG classes (a, b, rest), and the rows of longer lists
-    (key, a as node, n, rest, b null)."""
+    """The promising pairs of lists of up to LONG classes (a, b, their sizes n, m and places i, j), and the
+    rows of longer lists (key, node as a, n, i; b null)."""
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        names = ["key", "a", "b", "n", "rest"]
         left = None  # columns of a list that may go on in the next batch
         long_key = None
 
-        def batch_of(key, a, b, n, rest):
-            cols = [np.asarray(c, k) for c, k in ((key, np.int64), (a, np.int64), (b, np.int64), (n, np.int32), (rest, np.int32))]
-            arrays = [pa.array(c) for c in cols]
-            if len(cols[2]) and cols[3][0] >= 0:
-                arrays[2] = pa.nulls(len(cols[2]), pa.int64())
-            return pa.RecordBatch.from_arrays(arrays, names)
+        def batch_of(key, a, n, i, b=None, m=None, j=None):
+            none = pa.nulls(len(key), pa.int64())
+            arrays = [pa.array(key), pa.array(a), none if b is None else pa.array(b)]
+            arrays += [pa.array(np.asarray(x, np.int32)) if x is not None else pa.nulls(len(key), pa.int32()) for x in (n, m, i, j)]
+            return pa.RecordBatch.from_arrays(arrays, ["key", "a", "b", "n", "m", "i", "j"])
 
         def handle(c):
             """Complete lists: long ones as rows, others as pairs."""
-            key, node, n, rest = c
+            key, node, n, pos = c
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             ends = np.append(starts[1:], len(key))
             pairs: list[tuple] = []
-            for a, z in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+            size = 0
+            many = ends - starts > 1
+            for a, z in zip(starts[many], ends[many], strict=True):
                 own, at = np.unique(node[a:z], return_index=True)
                 if len(own) < 2:
                     continue
-                m, r = n[a:z][at].astype(np.int64), rest[a:z][at]
+                m, p = n[a:z][at].astype(np.int64), pos[a:z][at].astype(np.int64)
                 if len(own) > LONG:
-                    yield batch_of(np.full(len(own), key[a]), own, own, m, r)
+                    yield batch_of(np.full(len(own), key[a]), own, m, p)
                     continue
                 i, j = np.triu_indices(len(own), 1)
-                ok = compatible(m[i], m[j])
+                ok = compatible(m[i], m[j]) & promising(m[i], m[j], p[i] >> 1, p[j] >> 1, np.minimum)
                 i, j = i[ok], j[ok]
                 if len(i):
-                    pairs.append((np.full(len(i), key[a]), own[i], own[j], np.maximum(r[i], r[j]), m[i] + m[j]))
-                if sum(len(p[0]) for p in pairs[-200:]) > 20_000:
-                    yield emit(pairs)
-                    pairs = []
+                    pairs.append((np.full(len(i), key[a]), own[i], m[i], p[i], own[j], m[j], p[j]))
+                    size += len(i)
+                if size > 20_000:
+                    yield batch_of(*[np.concatenate([x[k] for x in pairs]) for k in range(7)])
+                    pairs, size = [], 0
             if pairs:
-                yield emit(pairs)
-
-        def emit(pairs):
-            key, a, b, rest, both = (np.concatenate([p[k] for p in pairs]) for k in range(5))
-            return batch_of(key, a, b, -both, rest)
+                yield batch_of(*[np.concatenate([x[k] for x in pairs]) for k in range(7)])
 
         for batch in batches:
             c = [batch.column(k).to_numpy() for k in range(4)]
@@ -233,7 +237,7 @@ def list_pairs(posted: DataFrame) -> DataFrame:
             if long_key is not None:
                 more = c[0] == long_key
                 if more.any():
-                    yield batch_of(c[0][more], c[1][more], c[1][more], c[2][more], c[3][more])
+                    yield batch_of(*[x[more] for x in c])
                     c = [x[~more] for x in c]
                 if not len(c[0]):
                     continue
@@ -245,18 +249,18 @@ def list_pairs(posted: DataFrame) -> DataFrame:
             left = [x[cut:] for x in c]
             if len(left[0]) > 4 * LONG and len(np.unique(left[1])) > LONG:
                 long_key = left[0][0]
-                yield batch_of(left[0], left[1], left[1], left[2], left[3])
+                yield batch_of(*left)
                 left = None
         if left is not None:
             yield from handle(left)
 
     parts = max(64, 2 * int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = posted.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, a long, b long, n int, rest int")
+    return dealt.mapInArrow(run, "key long, a long, b long, n int, m int, i int, j int")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs: distinct a, b (first halves of class digests). Returns the links: a, b as whole digests in hex.
+    """pairs: distinct a, b (first halves of class digests). Returns the links: a, b as ids of classes.
 
     Each class's set is computed from one of its texts and sent once as the centre of its pairs (once a salt)
     and once for each pair in which it is the other; sorted, the centre comes first and the rest stream by."""
@@ -265,57 +269,52 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     targets = pairs.select(F.col("b").alias("node"), F.col("a").alias("centre"), "salt", F.lit(1).alias("kind"))
     targets = targets.unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("centre"), "salt", F.lit(0).alias("kind")).distinct())
     nodes = targets.groupBy("node").agg(F.collect_list(F.struct("centre", "salt", "kind")).alias("targets"))
-    held = classes.select(F.col("d1").alias("node"), "d2", F.col("least").alias("_held")).join(nodes, "node")
+    held = classes.select(F.col("d1").alias("node"), "d2", "cid", F.col("least").alias("_held")).join(nodes, "node")
     held = F.broadcast(held) if pairs.count() <= 400_000 else held
-    texts = docs.select("doc_id", "text").join(held, F.col("doc_id").eqNullSafe(F.col("_held"))).select("text", "node", "d2", "targets")
+    texts = docs.select("doc_id", "text").join(held, F.col("doc_id").eqNullSafe(F.col("_held"))).select("text", "node", "d2", "targets", "cid")
 
     def send(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        from .shingles import digests, shingle_sets
-
         for batch in batches:
-            node, d2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            node, d2, cid = (batch.column(k).to_pylist() for k in (1, 2, 4))
             for i, s in enumerate(shingle_sets(batch.column(0), WIDTH)):
                 if (node[i], d2[i]) != digests(s):  # another row with this doc_id
                     continue
                 to = batch.column(3)[i].as_py()
-                name = f"{node[i] & (2**64 - 1):016x}{d2[i] & (2**64 - 1):016x}"
                 data = s.astype("<u8").tobytes()
                 for a in range(0, len(to), 500):
                     part = to[a : a + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array([t["centre"] for t in part], pa.int64()), pa.array([t["salt"] for t in part], pa.int32()), pa.array([t["kind"] for t in part], pa.int32()), pa.array([name] * len(part), pa.string()), pa.array([data] * len(part), pa.binary())], ["centre", "salt", "kind", "name", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([t["centre"] for t in part], pa.int64()), pa.array([t["salt"] for t in part], pa.int32()), pa.array([t["kind"] for t in part], pa.int32()), pa.array([cid[i]] * len(part), pa.int64()), pa.array([data] * len(part), pa.binary())], ["centre", "salt", "kind", "cid", "data"])
 
     def compare(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         at, centres = None, []
         for batch in batches:
-            found: list[tuple[str, str]] = []
+            found: list[tuple[int, int]] = []
             cols = [batch.column(k) for k in range(5)]
-            for centre, salt, kind, name, data in zip(*[c.to_pylist() for c in cols[:4]], cols[4], strict=True):
+            for centre, salt, kind, cid, data in zip(*[c.to_pylist() for c in cols[:4]], cols[4], strict=True):
                 s = np.frombuffer(data.as_buffer(), "<u8")
                 if at != (centre, salt):
                     at, centres = (centre, salt), []
                 if kind == 0:
-                    if all(name != x for x, _ in centres):
-                        centres.append((name, s.copy()))
+                    if all(cid != x for x, _ in centres):
+                        centres.append((cid, s.copy()))
                     continue
                 for other, c in centres:
-                    if other != name and compatible(len(s), len(c)):
+                    if other != cid and compatible(len(s), len(c)):
                         small, large = (s, c) if len(s) <= len(c) else (c, s)
                         place = np.searchsorted(large, small)
                         place[place == len(large)] = 0
                         both = int((large[place] == small).sum())
                         if both * DEN >= NUM * (len(s) + len(c) - both):
-                            found.append((other, name))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["a", "b"])
+                            found.append((other, cid))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     parts = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = texts.mapInArrow(send, "centre long, salt int, kind int, name string, data binary")
-    return sent.repartition(parts, "centre", "salt").sortWithinPartitions("centre", "salt", "kind").mapInArrow(compare, "a string, b string")
+    sent = texts.mapInArrow(send, "centre long, salt int, kind int, cid long, data binary")
+    return sent.repartition(parts, "centre", "salt").sortWithinPartitions("centre", "salt", "kind").mapInArrow(compare, "a long, b long")
 
 
 def set_classes(docs: DataFrame) -> DataFrame:
@@ -324,8 +323,6 @@ def set_classes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from .shingles import digests, shingle_sets
-
         for batch in batches:
             n, d = [], []
             for s in shingle_sets(batch.column(1), WIDTH):
@@ -336,46 +333,52 @@ def set_classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, d1 long, d2 long")
 
 
-def class_name(d1: str, d2: str) -> F.Column:
-    return F.lower(F.concat(F.lpad(F.hex(d1), 16, "0"), F.lpad(F.hex(d2), 16, "0")))
-
-
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between classes (a, b as digests in hex): enough of them to connect all that similarity connects."""
+    """Links between classes (a, b as ids): enough of them to connect all that similarity connects."""
     common, mean_list = count_common(docs)
     met = materialize(list_pairs(keys(docs, common, boundary(mean_list))), "lists")
-    rows = met.filter("b is null").select("key", F.col("a").alias("node"), "n", "rest").distinct()
+    rows = met.filter("b is null").select("key", F.col("a").alias("node"), F.col("n").cast("long").alias("n"), F.col("i").cast("long").alias("i")).distinct()
     rows = materialize(rows, "long-lists")
-    salt = F.pmod(F.xxhash64("node"), F.lit(64))
-    inside = W.partitionBy("key", "salt").orderBy("n", "node")
-    placed = rows.withColumn("salt", salt).withColumn("prev", F.lag("node").over(inside)).withColumn("first", F.first("node").over(inside))
-    heads = placed.filter(F.col("node") == F.col("first")).select("key", "node", "n").withColumn("prev", F.first("node").over(W.partitionBy("key").orderBy("n", "node")))
-    steps = placed.select("node", F.explode(F.array("prev", "first")).alias("other")).unionByName(heads.select("node", F.col("prev").alias("other")))
-    ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b")
-    near = materialize(verify(ordered(steps.filter("other is not null"), "node", "other").distinct(), docs, classes), "near-links")
-    comp = components(near)
+
+    # A pivot for each quarter of a long list; of each class the STEPS that most of its lists suggest are verified.
+    quarter = F.pmod(F.xxhash64("node"), F.lit(4))
+    known = materialize(rows.groupBy("node").agg(F.count("*").alias("lists")), "list-counts")
+    counted = rows.join(maybe_broadcast(known, 300_000), "node")
+    pivots = counted.groupBy("key", quarter.alias("q")).agg(F.max(F.struct("lists", "node"))["node"].alias("other")).drop("q")
+    steps = rows.select("key", "node").join(pivots, "key").filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("k"))
+    steps = steps.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.desc("k"), "other"))).filter(F.col("r") <= STEPS)
+    steps = steps.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    near = materialize(verify(steps, docs, classes), "near-links")
+
     # By the first half of the digest, as lists have it; where two classes share it, the node stays on its own.
-    comp = comp.select(F.conv(F.substring("node", 1, 16), 16, -10).cast("long").alias("node"), "root").groupBy("node").agg(F.min("root").alias("root"), F.count_distinct("root").alias("k")).filter("k = 1").drop("k")
+    comp = components(near).join(classes.select("d1", F.col("cid").alias("node")), "node").drop("node").withColumnRenamed("d1", "node")
+    comp = comp.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("top")).filter("root = top").drop("top")
     comp = materialize(comp, "near-components")
     own = maybe_broadcast(comp, 300_000)
     named = lambda df, node, out: df.join(own.select(F.col("node").alias(node), F.col("root").alias(out)), node, "left")
-    short = met.filter("b is not null").select("a", "b", "rest", (-F.col("n")).alias("both"))
-    apart = lambda df: df.filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).drop("ra", "rb")
-    short = apart(named(named(short, "a", "ra"), "b", "rb"))
-    long = rows.join(comp, "node", "left").withColumn("root", F.coalesce("root", F.col("node").cast("string")))
+    short = met.filter("b is not null").drop("key")
+    short = named(named(short, "a", "ra"), "b", "rb").filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).drop("ra", "rb")
+
+    long = rows.join(comp, "node", "left").withColumn("root", F.coalesce(F.concat(F.lit("c"), F.col("root").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string"))))
     sizes = long.groupBy("key", "root").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
     long = long.join(main, "key")
-    out = long.filter("root <> main")
-    o, t = out.alias("o"), long.alias("t")
-    fits = (F.col("o.n").cast("long") * DEN >= F.col("t.n").cast("long") * NUM) & (F.col("t.n").cast("long") * DEN >= F.col("o.n").cast("long") * NUM)
-    once = (F.col("t.root") == F.col("t.main")) | (F.col("o.node") < F.col("t.node"))
-    cross = o.join(t, (F.col("o.key") == F.col("t.key")) & (F.col("o.root") != F.col("t.root")) & fits & once)
-    cross = cross.select(F.least("o.node", "t.node").alias("a"), F.greatest("o.node", "t.node").alias("b"), F.greatest("o.rest", "t.rest").alias("rest"), (F.col("o.n") + F.col("t.n")).alias("both"))
-    # Met in k lists, two sets have k common shingles among those posted and at most `rest` beyond.
-    times = short.unionByName(cross).groupBy("a", "b").agg(F.count(F.when(F.col("rest") >= 0, 1)).alias("k"), F.max("rest").alias("rest"), F.max("both").alias("both"), F.min("rest").alias("least"))
-    enough = (F.col("least") < 0) | ((F.col("k") + F.col("rest")) * (DEN + NUM) >= F.col("both") * NUM)
-    far = verify(times.filter(enough).select("a", "b"), docs, classes)
+    o, t = long.filter("root <> main").alias("o"), long.alias("t")
+    c = F.col
+    fits = compatible(c("o.n"), c("t.n")) & promising(c("o.n"), c("t.n"), F.shiftright("o.i", 1), F.shiftright("t.i", 1), F.least)
+    once = (c("t.root") == c("t.main")) | (c("o.node") < c("t.node"))
+    cross = o.join(t, (c("o.key") == c("t.key")) & (c("o.root") != c("t.root")) & fits & once)
+    first = c("o.node") < c("t.node")
+    side = lambda x, y: [F.when(first, c(f"{x}.{k}")).otherwise(c(f"{y}.{k}")) for k in ("node", "n", "i")]
+    (a, n, i), (b, m, j) = side("o", "t"), side("t", "o")
+    cross = cross.select(a.alias("a"), b.alias("b"), n.cast("int").alias("n"), m.cast("int").alias("m"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    # The meetings that count are a pair's first ones in the common order: k of them, and what is left after the last.
+    single = F.col("i") % 2 == 0
+    pairs = short.unionByName(cross).groupBy("a", "b").agg(F.count(F.when(single, 1)).alias("k"), F.count(F.when(~single, 1)).alias("sub"), *[F.max(x).alias(x) for x in ("n", "m")], *[F.max(F.when(single, F.shiftright(x, 1))).alias(x) for x in ("i", "j")])
+    left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    enough = (F.col("sub") > 0) | ((F.col("k") + left) * (DEN + NUM) >= (F.col("n") + F.col("m")) * NUM)
+    far = verify(pairs.filter(enough).select("a", "b"), docs, classes)
     return materialize(near.unionByName(far), "links")
 
 
@@ -383,9 +386,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included)."""
     rows = materialize(set_classes(docs), "sets")
     classes = rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    classes = materialize(classes, "classes")
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     comp = components(links_of(docs, classes))
-    named = classes.withColumn("node", class_name("d1", "d2"))
+    named = classes.withColumnRenamed("cid", "node")
     linked = named.join(comp, "node")
     low = linked.groupBy("root").agg(F.min("least").alias("component"))
     label = linked.join(low, "root").select("d1", "d2", "component")
