@@ -7,9 +7,8 @@ do for any common order:
 * A small set enumerates the c-subsets (c = 2) of its first n - o + c shingles, o the least overlap with a
   partner; two small sets that link share a subset.
 * A large set posts its first n - o + 1 shingles to inverted lists, and so do small sets big enough for a
-  large partner; two that link meet in a list. A meeting counts only if the shingles from there on could
-  still be enough for both, which that at the first common one fulfils; how many count, and what is left
-  after the last of them, bounds the overlap from above.
+  large partner; two that link meet in a list, and the first time they do the shingles from there on are
+  still enough for both. How often they meet, and what they didn't post, bounds the overlap from above.
 * The boundary between small and large is where a set's subsets cost more than scanning its lists would,
   by the mean length of lists in the input.
 
@@ -187,8 +186,8 @@ def promising(n, m, i, j, least):
 
 
 def list_pairs(posted: DataFrame) -> DataFrame:
-    """The promising pairs of lists of up to LONG classes (a, b, their sizes n, m and places i, j), and the
-    rows of longer lists (key, node as a, n, i; b null)."""
+    """The pairs of compatible sizes of lists of up to LONG classes (a, b, their sizes n, m and places i, j),
+    and the rows of longer lists (key, node as a, n, i; b null)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -219,7 +218,7 @@ def list_pairs(posted: DataFrame) -> DataFrame:
                     yield batch_of(np.full(len(own), key[a]), own, m, p)
                     continue
                 i, j = np.triu_indices(len(own), 1)
-                ok = compatible(m[i], m[j]) & promising(m[i], m[j], p[i] >> 1, p[j] >> 1, np.minimum)
+                ok = compatible(m[i], m[j])
                 i, j = i[ok], j[ok]
                 if len(i):
                     pairs.append((np.full(len(i), key[a]), own[i], m[i], p[i], own[j], m[j], p[j]))
@@ -373,11 +372,23 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     (a, n, i), (b, m, j) = side("o", "t"), side("t", "o")
     cross = cross.select(a.alias("a"), b.alias("b"), n.cast("int").alias("n"), m.cast("int").alias("m"), i.cast("int").alias("i"), j.cast("int").alias("j"))
 
-    # The meetings that count are a pair's first ones in the common order: k of them, and what is left after the last.
+    # Sets meet once a common shingle they both posted: k times, so they share at most that and what one of
+    # them didn't post. Of two sets in long lists only the promising meetings are known, which come first in
+    # the common order: those, and what is left after the last of them, bound what they share.
+    hopeful = promising(F.col("n"), F.col("m"), F.shiftright("i", 1), F.shiftright("j", 1), F.least)
     single = F.col("i") % 2 == 0
-    pairs = short.unionByName(cross).groupBy("a", "b").agg(F.count(F.when(single, 1)).alias("k"), F.count(F.when(~single, 1)).alias("sub"), *[F.max(x).alias(x) for x in ("n", "m")], *[F.max(F.when(single, F.shiftright(x, 1))).alias(x) for x in ("i", "j")])
-    left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-    enough = (F.col("sub") > 0) | ((F.col("k") + left) * (DEN + NUM) >= (F.col("n") + F.col("m")) * NUM)
+    last = lambda x: F.max(F.when(single & hopeful, F.shiftright(x, 1))).alias(x)
+    pairs = short.unionByName(cross).groupBy("a", "b").agg(
+        F.count(F.when(single, 1)).alias("k"), F.count(F.when(single & hopeful, 1)).alias("first"), F.count(F.when(~single & hopeful, 1)).alias("sub"), F.max("n").alias("n"), F.max("m").alias("m"), last("i"), last("j")
+    )
+    listed = maybe_broadcast(known, 300_000)
+    mark = lambda df, node, out: df.join(listed.select(F.col("node").alias(node), F.lit(True).alias(out)), node, "left")
+    pairs = mark(mark(pairs.filter("first > 0 or sub > 0"), "a", "la"), "b", "lb")
+    unposted = lambda n: F.ceil(F.col(n) * NUM / DEN) - 1
+    need = (F.col("n") + F.col("m")) * NUM
+    by_count = (F.col("k") + F.greatest(unposted("n"), unposted("m"))) * (DEN + NUM) >= need
+    by_place = (F.col("first") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1) * (DEN + NUM) >= need
+    enough = (F.col("sub") > 0) | F.when(F.col("la") & F.col("lb"), by_place).otherwise(by_count)
     far = verify(pairs.filter(enough).select("a", "b"), docs, classes)
     return materialize(near.unionByName(far), "links")
 
