@@ -126,8 +126,9 @@ def fit(rows: list[tuple[str | None, int]]) -> Space:
     import numpy as np
 
     labels = np.array([float(y) for _, y in rows])
-    bags = [terms(t) for t, _ in rows]
-    df = Counter(t for b in bags for t in b)
+    df: Counter = Counter()
+    for t, _ in rows:  # one text's terms at a time: the driver has little memory
+        df.update(terms(t).keys())
     chosen = sorted((t for t in df if df[t] >= 2), key=lambda t: (-df[t], t))[:TERMS]
     index = {t: i for i, t in enumerate(chosen)}
     # Shapes say more of quality than words do, and there are few of them.
