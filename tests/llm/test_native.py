@@ -183,3 +183,17 @@ def test_licenses(spark, docs, corpus, empty, clashing):
     assert got[901]["score"] == 1.0
     assert licenses.scan(empty).count() == 0
     assert licenses.scan(clashing).count() == len(corpus)
+
+
+def test_licenses_in_long_texts(spark):
+    """However many other template words a text holds, each template in it is found, where it stands."""
+    index = " ".join(sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()}))
+    every = " ".join(f"{t}. Next" for _, t, _ in licenses.TEMPLATES)
+    rows = [(k, f"{index}. {t}.") for k, (_, t, _) in enumerate(licenses.TEMPLATES)] + [(100, every), (101, index)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, t, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k]["labels"]
+        assert (len(index.split()), label, 1.0) in {(s["start"], s["label"], s["score"]) for s in got[k]["spans"]}
+    assert list(got[100]["labels"]) == sorted({label for label, *_ in licenses.TEMPLATES})
+    assert len([s for s in got[100]["spans"] if s["score"] == 1.0]) == len(licenses.TEMPLATES)
+    assert list(got[101]["labels"]) == []

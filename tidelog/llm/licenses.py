@@ -1,10 +1,11 @@
 """License scans over a positional index of rare licence words. DataFrame operations only.
 
 Templates are short forms of licences. The index holds, for each word that is rare among templates or part
-of a mandatory key phrase, its positions. A file's licence words of the highest inverse document frequency
-(over the templates) are looked up; each hit votes for (template, start) = word position - template position.
-A start with enough votes is verified: every word of the template's key phrase must stand in its place. The
-share of indexed template words in their places is the score.
+of a mandatory key phrase, its positions. Rare is what has a high inverse document frequency over the
+templates, that is, stands in few of them. All of a file's indexed words are looked up, wherever they stand;
+each hit votes for (template, start) = word position - template position. A start with enough votes is
+verified: every word of the template's key phrase must stand in its place. The share of indexed template
+words in their places is the score.
 
 Base phrases are counted beside it, wherever their words stand consecutively, and their labels always stay.
 
@@ -14,7 +15,6 @@ alike; null ids pass through; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -43,15 +43,14 @@ TEMPLATES = [
     ("cc-by-nc", "this work is licensed under cc by nc 4 0", "cc by nc"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
-#: A word of at most so many templates is rare; so many of a file's rarest distinct ones are looked up; so many votes make a candidate.
-RARE_IN, LOOK_UP, MIN_VOTES = 3, 24, 2
+#: A word of at most so many templates is rare; so many votes make a candidate (no key phrase has fewer words).
+RARE_IN, MIN_VOTES = 3, 2
 
 
-def build_index() -> tuple[dict[str, float], list[tuple[str, int, int, bool]], list[tuple[int, str, int, int]]]:
-    """(idf by word; postings (word, template, position, of the key phrase); templates (number, label, indexed words, key words))."""
+def build_index() -> tuple[list[tuple[str, int, int, bool]], list[tuple[int, str, int, int]]]:
+    """(postings (word, template, position, of the key phrase); templates (number, label, indexed words, key words))."""
     words = [t.split() for _, t, _ in TEMPLATES]
     df = Counter(w for ws in words for w in set(ws))
-    idf = {w: math.log(len(TEMPLATES) / n) for w, n in df.items()}
     postings, heads = [], []
     for k, ((label, _, phrase), ws) in enumerate(zip(TEMPLATES, words, strict=True)):
         key = phrase.split()
@@ -59,7 +58,7 @@ def build_index() -> tuple[dict[str, float], list[tuple[str, int, int, bool]], l
         spots = {i for i in range(len(ws)) if df[ws[i]] <= RARE_IN} | set(range(at, at + len(key)))
         postings += [(ws[i], k, i, at <= i < at + len(key)) for i in sorted(spots)]
         heads.append((k, label, len(spots), len(key)))
-    return idf, postings, heads
+    return postings, heads
 
 
 def phrase_starts(words: str, places: Column, phrase: str) -> Column:
@@ -77,7 +76,7 @@ def phrase_starts(words: str, places: Column, phrase: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels and labels (arrays), score, spans (template, start, score)."""
     spark = docs.sparkSession
-    idf, postings, heads = build_index()
+    postings, heads = build_index()
     indexed = sorted({w for w, *_ in postings})
     # Texts without any of these substrings hold no base phrase and too few rare words of any template to be a candidate.
     needed = ["license", "cc", "warranties", "permission", "redistribution", "mozilla", "creative", "unencumbered"]
@@ -104,18 +103,13 @@ def scan(docs: DataFrame) -> DataFrame:
         F.filter(tagged, lambda x: x["w"].isin(indexed)).alias("hits"),
     )
     d = materialize(d, "licence-words")
-    # A file's rarest indexed words: the map is a literal, one entry an index word.
-    weight = F.create_map(*[F.lit(x) for w in indexed for x in (w, idf[w])])
-    hit = d.filter(F.size("hits") >= MIN_VOTES).select("rid", "hits")
-    kinds = F.array_distinct(F.transform("hits", lambda x: F.struct((-F.element_at(weight, x["w"])).alias("v"), x["w"].alias("w"))))
-    hit = hit.withColumn("top", F.transform(F.slice(F.sort_array(kinds), 1, LOOK_UP), lambda x: x["w"])).select("rid", "top", F.explode("hits").alias("x"))
+    hit = d.filter(F.size("hits") >= MIN_VOTES).select("rid", F.explode("hits").alias("x"))
     index = spark.createDataFrame(postings, "w string, t int, p int, key boolean")
     votes = hit.join(F.broadcast(index), F.col("x.w") == F.col("w")).withColumn("start", F.col("x.i") - F.col("p"))
-    looked = F.array_contains("top", F.col("w"))
-    votes = votes.groupBy("rid", "t", "start").agg(F.count(F.when(looked, 1)).alias("votes"), F.count("*").alias("met"), F.count(F.when(F.col("key"), 1)).alias("key_met"))
+    votes = votes.groupBy("rid", "t", "start").agg(F.count("*").alias("votes"), F.count(F.when(F.col("key"), 1)).alias("key_met"))
     head = spark.createDataFrame(heads, "t int, label string, indexed int, key_words int")
     found = votes.filter(F.col("votes") >= MIN_VOTES).join(F.broadcast(head), "t").filter("key_met = key_words")
-    found = found.withColumn("score", F.col("met") / F.col("indexed"))
+    found = found.withColumn("score", F.col("votes") / F.col("indexed"))
     per = found.groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"), F.sort_array(F.collect_list(F.struct("start", "label", "score"))).alias("spans"))
     out = d.drop("hits").join(per, "rid", "left").withColumn("labels", F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
     floor = F.when(F.size("base_labels") > 0, 0.5).otherwise(0.0)
