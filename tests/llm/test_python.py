@@ -148,6 +148,18 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_html_teasers_and_fixed_text(spark):
+    """Teasers in article elements don't stand for the body beside them; fixed text in an article isn't of the article."""
+    long = lambda k: " ".join(f"word{k * j % 97} of page {k}" for j in range(2, 14))
+    teasers = lambda k: "".join(f"<article><h3>Teaser {k} {j}</h3><p>A few words {k + j}</p></article>" for j in range(3))
+    rows = [(k, "https://named.example/x", f"<body><div class=content><h1>Title {k}</h1><p>{long(k)}</p></div>{teasers(k)}") for k in range(5)]
+    rows += [(10 + k, "https://plain.example/x", f"<body>{teasers(k)}<div><h1>Title {k}</h1><p>{long(k)}</p></div>") for k in range(5)]
+    rows += [(20 + k, "https://fixed.example/x", f"<body><article><div class=teller>Told by the house</div><h1>Title {k}</h1><p>{long(k)}</p></article><p>{k}") for k in range(5)]
+    rows += [(30 + k, "https://copies.example/x", f"<body><article><h1>Title</h1><p>{long(1)}</p></article>") for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert got == {10 * h + k: f"Title {k} {long(k)}" if h < 3 else f"Title {long(1)}" for h in range(4) for k in range(5)}
+
+
 def test_wrapper_inference():
     one, two = (html_text.page_wrapper(f"<body><article><h1>{t}</h1>{b}</article><footer>same") for t, b in (("a", "<h2>x</h2><p>1</p>" * 3), ("b", "<h2>x</h2><p>1</p>" * 2 + "<pre>z</pre>")))
     w = html_text.align(one, two)

@@ -5,9 +5,12 @@ host are aligned one after another: runs of the same blocks fold into repeated g
 lacks become optional, texts that differ become slots. What comes out is the host's wrapper, a regular
 expression without unions, with how much text, and how much of it in links, each place held.
 
-The wrapper then tells which places hold the article: those inside article or main elements, or where a
-host has none, places with text slots that aren't link lists. Menus, headers, footers, sidebars, notices,
-adverts, forms and comments are known by element, role, class or id and never taken.
+The wrapper then tells which places hold the article. Places are of three levels: in article or main
+elements, in elements named like one, and all others. A level's weight is the unlinked text in its slots, an
+element (or, for others, a page), times LEVEL_WEIGHTS, so elements and names are a feature beside the text; a
+page's text is what it has at the host's weightiest level. Fixed texts are left out, and link lists outside
+marked elements; where a host shows no slot, its pages are copies and fixed texts count. Menus, headers, footers,
+sidebars, notices, adverts, forms and comments are known by element, role, class or id and never taken.
 
 Wrappers are merged per partition first, then per host in two levels, so no host's pages meet in one task;
 a wrapper has at most MAX_ITEMS places, beyond which it keeps its distinct places only, all optional.
@@ -49,10 +52,12 @@ BOILER_WORDS = {
 HEADER = {"header", "topbar", "masthead"}
 MAIN_WORDS = {"article", "main", "content", "post", "entry", "story"}
 MAX_ITEMS, MAX_PERIOD = 300, 6
+#: By level: places outside marked elements, in elements named like an article, in article or main elements.
+LEVEL_WEIGHTS = (1.0, 1.5, 2.0)
 
 
 class Element:
-    __slots__ = ("tag", "label", "boiler", "main", "block")
+    __slots__ = ("tag", "label", "boiler", "main", "block", "marked")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.block = tag, tag not in INLINE
@@ -62,18 +67,21 @@ class Element:
         inside = parent.main if parent else 0
         is_main = 2 if tag in ("article", "main") or role in ("article", "main") else 1 if self.block and tag in ("div", "section", "td") and words & MAIN_WORDS else 0
         self.main = max(inside, is_main)
+        #: The outermost element that gives this level; the root for level 0.
+        self.marked = self if parent is None or is_main > inside else parent.marked
         boiler = tag in BOILER_TAGS or role in BOILER_ROLES or bool(words & BOILER_WORDS and tag not in ("body", "html", "article", "main")) or "hidden" in found or found.get("aria-hidden") == "true"
         boiler = boiler or (inside < 2 and (tag == "header" or bool(words & HEADER) and tag not in ("body", "html", "article", "main")))
         self.boiler = boiler or bool(parent and parent.boiler)
         self.label = f"{tag}.{found['class'].replace(' ', '.')}" if found.get("class") else f"{tag}#{found['id']}" if found.get("id") else tag
 
 
-def blocks(page: str | None) -> Iterator[tuple[str, str, int, bool, float]]:
-    """(path, text, main: 2 in an article, 1 in something named like one, boiler, share of the text in links)."""
+def blocks(page: str | None) -> Iterator[tuple[str, str, int, bool, float, bool]]:
+    """(path, text, main: 2 in an article, 1 in something named like one, boiler, share of the text in links, whether the first to be read in its marked element)."""
     stack: list[Element] = [Element("#", "", None)]
     parts: list[str] = []
     linked = 0
     links = 0
+    begun: set[Element] = set()
 
     def path() -> tuple[str, Element]:
         own = [e for e in stack if e.block]
@@ -87,7 +95,10 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int, bool, float]]:
         linked = 0
         if text:
             where, last = path()
-            return [(where, text, last.main, last.boiler, share)]
+            first = not last.boiler and last.marked not in begun
+            if first:
+                begun.add(last.marked)
+            return [(where, text, last.main, last.boiler, share, first)]
         return []
 
     at, page = 0, page or ""
@@ -142,8 +153,8 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int, bool, float]]:
     yield from flush()
 
 
-# A wrapper is a list of items [path, text or None for a slot, optional, repeated, pages, chars, linked chars, main, boiler, inner items].
-PATH, TEXT, OPTIONAL, REPEATED, PAGES, CHARS, LINKED, MAIN, BOILER, INNER = range(10)
+# A wrapper is a list of items [path, text or None for a slot, optional, repeated, pages, chars, linked chars, marked elements begun, main, boiler, inner items].
+PATH, TEXT, OPTIONAL, REPEATED, PAGES, CHARS, LINKED, BEGUN, MAIN, BOILER, INNER = range(11)
 
 
 def signature(item: list) -> str:
@@ -156,7 +167,7 @@ def merge_item(a: list, b: list) -> list:
     out[TEXT] = a[TEXT] if a[TEXT] == b[TEXT] else None
     for k in (OPTIONAL, REPEATED):
         out[k] = a[k] or b[k]
-    for k in (PAGES, CHARS, LINKED):
+    for k in (PAGES, CHARS, LINKED, BEGUN):
         out[k] = a[k] + b[k]
     if a[INNER]:
         out[INNER] = [merge_item(x, y) for x, y in zip(a[INNER], b[INNER], strict=True)]
@@ -165,7 +176,7 @@ def merge_item(a: list, b: list) -> list:
 
 def group(items: list[list]) -> list:
     """A repeated group of several items."""
-    return ["", None, False, True, max(x[PAGES] for x in items), sum(x[CHARS] for x in items), sum(x[LINKED] for x in items), max(x[MAIN] for x in items), False, items]
+    return ["", None, False, True, max(x[PAGES] for x in items), sum(x[CHARS] for x in items), sum(x[LINKED] for x in items), sum(x[BEGUN] for x in items), max(x[MAIN] for x in items), False, items]
 
 
 def fold(items: list[list]) -> list[list]:
@@ -246,25 +257,36 @@ def leaves(items: list[list]) -> Iterator[list]:
 
 
 def page_wrapper(page: str | None) -> list[list]:
-    return fold([[p, t[:200], False, False, 1, len(t), round(len(t) * share), main, boiler, []] for p, t, main, boiler, share in blocks(page)])
+    return fold([[p, t[:200], False, False, 1, len(t), round(len(t) * share), int(first), main, boiler, []] for p, t, main, boiler, share, first in blocks(page)])
 
 
-def article_places(wrapper: list[list]) -> dict[str, int]:
-    """2: the article; 1: the article where a page has no place of the first kind; 0: anything else."""
-    out: dict[str, int] = {}
-    for x in leaves(wrapper):
-        fixed = x[TEXT] is not None and x[PAGES] >= 3
-        menu = x[LINKED] > 0.6 * x[CHARS]
-        kind = 0 if x[BOILER] else 2 if x[MAIN] == 2 else 1 if x[MAIN] == 1 else 0 if fixed or menu else 1
-        out[x[PATH]] = max(out.get(x[PATH], 0), kind)
-    return out
+def article_places(wrapper: list[list]) -> tuple[list[int], dict[str, bool]]:
+    """Levels by weight, the article's last; of each place outside boilerplate whether it can hold article text."""
+    own = [x for x in leaves(wrapper) if not x[BOILER]]
+    most = max((x[PAGES] for x in own), default=0)
+
+    def fixed(x: list) -> bool:
+        return x[TEXT] is not None and x[PAGES] >= 3 and (x[MAIN] == 0 or 2 * x[PAGES] >= most)
+
+    def menu(x: list) -> bool:
+        return x[MAIN] == 0 and x[LINKED] > 0.6 * x[CHARS]
+
+    copies = all(fixed(x) or menu(x) for x in own)
+    text, begun = [0.0] * 3, [0] * 3
+    places: dict[str, bool] = {}
+    for x in own:
+        takes = not menu(x) and (copies or not fixed(x))
+        places[x[PATH]] = places.get(x[PATH], False) or takes
+        begun[x[MAIN]] += x[BEGUN]
+        text[x[MAIN]] += (x[CHARS] - x[LINKED]) * takes
+    weight = [LEVEL_WEIGHTS[k] * text[k] / max(1, begun[k]) for k in range(3)]
+    return sorted(range(3), key=lambda k: (weight[k], k)), places
 
 
-def extract(page: str | None, places: dict[str, int]) -> str:
-    own = [(places.get(p, 0 if boiler else 2 if main == 2 else 1) if not boiler else 0, main, t) for p, t, main, boiler, _ in blocks(page)]
-    best = max((k for k, _, _ in own), default=0)
-    named = any(k == 1 and m == 1 for k, m, _ in own)
-    return " ".join(t for k, m, t in own if best and k == best and (best == 2 or not named or m == 1))
+def extract(page: str | None, levels: list[int], places: dict[str, bool]) -> str:
+    own = [(levels.index(main), t) for p, t, main, boiler, *_ in blocks(page) if not boiler and places.get(p, True)]
+    best = max((k for k, _ in own), default=0)
+    return " ".join(t for k, t in own if k == best)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -309,7 +331,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        places: dict[str, dict[str, int]] = {}
+        places: dict[str, tuple[list[int], dict[str, bool]]] = {}
         for batch in batches:
             texts = []
             for page, host, wrapper in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
@@ -317,7 +339,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     if len(places) > 5000:
                         places.clear()
                     places[host] = article_places(json.loads(wrapper.as_py() or "[]"))
-                texts.append(extract(page.as_py(), places[host]))
+                texts.append(extract(page.as_py(), *places[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
