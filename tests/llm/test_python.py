@@ -160,6 +160,17 @@ def test_html_teasers_and_fixed_text(spark):
     assert got == {10 * h + k: f"Title {k} {long(k)}" if h < 3 else f"Title {long(1)}" for h in range(4) for k in range(5)}
 
 
+def test_html_long_common_opening():
+    """Texts that differ only after a long common opening are a slot; long equal ones are fixed."""
+    same = "This opening is the same on all pages. " * 8
+    pages = [f"<body><div><p>{same}Page {k}.</p></div><section>{same}</section>" for k in range(4)]
+    w = html_text.page_wrapper(pages[0])
+    for p in pages[1:]:
+        w = html_text.align(w, html_text.page_wrapper(p))
+    assert [x[html_text.TEXT] is None for x in w] == [True, False]
+    assert [html_text.extract(p, *html_text.article_places(w)) for p in pages] == [f"{same}Page {k}." for k in range(4)]
+
+
 def test_wrapper_inference():
     one, two = (html_text.page_wrapper(f"<body><article><h1>{t}</h1>{b}</article><footer>same") for t, b in (("a", "<h2>x</h2><p>1</p>" * 3), ("b", "<h2>x</h2><p>1</p>" * 2 + "<pre>z</pre>")))
     w = html_text.align(one, two)

@@ -22,6 +22,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -256,8 +257,13 @@ def leaves(items: list[list]) -> Iterator[list]:
             yield x
 
 
+def whole(text: str) -> str:
+    """What stands for a text: equal for equal texts only. Texts of blocks hold no line break, so no short one looks like a digest."""
+    return text if len(text) <= 200 else f"{len(text)}\n{hashlib.sha256(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
 def page_wrapper(page: str | None) -> list[list]:
-    return fold([[p, t[:200], False, False, 1, len(t), round(len(t) * share), int(first), main, boiler, []] for p, t, main, boiler, share, first in blocks(page)])
+    return fold([[p, whole(t), False, False, 1, len(t), round(len(t) * share), int(first), main, boiler, []] for p, t, main, boiler, share, first in blocks(page)])
 
 
 def article_places(wrapper: list[list]) -> tuple[list[int], dict[str, bool]]:
