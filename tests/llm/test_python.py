@@ -171,6 +171,16 @@ def test_html_long_common_opening():
     assert [html_text.extract(p, *html_text.article_places(w)) for p in pages] == [f"{same}Page {k}." for k in range(4)]
 
 
+def test_html_more_places_than_are_aligned(spark):
+    """Link lists and fixed lines are known however many other places a host has, and however its pages are dealt."""
+    text = lambda k, j: f"Paragraph {j} of page {k}, with words enough to outweigh a list of links."
+    pages = [f"<body>{''.join(f'<div id=p{k}-{j}>{text(k, j)}</div>' for j in range(120))}<div id=links><a href=x>one {k}</a></div><div id=fixed>Made here</div>" for k in range(9)]
+    d = spark.createDataFrame([(k, "https://a.example/x", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    for parts in (1, 4):
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(d.repartition(parts)).collect()}
+        assert got == {k: " ".join(text(k, j) for j in range(120)) for k in range(9)}
+
+
 def test_wrapper_inference():
     one, two = (html_text.page_wrapper(f"<body><article><h1>{t}</h1>{b}</article><footer>same") for t, b in (("a", "<h2>x</h2><p>1</p>" * 3), ("b", "<h2>x</h2><p>1</p>" * 2 + "<pre>z</pre>")))
     w = html_text.align(one, two)

@@ -12,8 +12,9 @@ page's text is what it has at the host's weightiest level. Fixed texts are left
 marked elements; where a host shows no slot, its pages are copies and fixed texts count. Menus, headers, footers,
 sidebars, notices, adverts, forms and comments are known by element, role, class or id and never taken.
 
-Wrappers are merged per partition first, then per host in two levels, so no host's pages meet in one task;
-a wrapper has at most MAX_ITEMS places, beyond which it keeps its distinct places only, all optional.
+Wrappers are merged per partition first, then per host in two levels, so no host's pages meet in one task.
+A wrapper of more than MAX_ITEMS items is no longer aligned: it becomes the table of its distinct places, all
+of them, whose sums go on. So what one task holds of a host grows with the host's distinct places.
 
 Defined cases: null and empty html give an empty text; pages without a usable url share the host ''; markup
 cut off in the middle is read as far as it goes; repeated rows are answered alike; null ids pass through;
@@ -53,6 +54,10 @@ BOILER_WORDS = {
 HEADER = {"header", "topbar", "masthead"}
 MAIN_WORDS = {"article", "main", "content", "post", "entry", "story"}
 MAX_ITEMS, MAX_PERIOD = 300, 6
+#: A partition's wrappers are handed on when they hold more hosts or items than this.
+MAX_HOSTS, MAX_HELD = 20_000, 200_000
+#: Excluded places of all hosts together are broadcast up to so many characters.
+MAX_SENT = 32 << 20
 #: By level: places outside marked elements, in elements named like an article, in article or main elements.
 LEVEL_WEIGHTS = (1.0, 1.5, 2.0)
 
@@ -227,8 +232,13 @@ def wrap_known(items: list[list], known: list[list]) -> list[list]:
     return items
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
-    """The wrapper of both: mismatches become optional."""
+def align(a: list[list] | dict[str, list], b: list[list] | dict[str, list]) -> list[list] | dict[str, list]:
+    """The wrapper of both: mismatches become optional. Tables of places are added up (the first may be changed)."""
+    if isinstance(a, dict) or isinstance(b, dict):
+        a, b = (x if isinstance(x, dict) else distinct_places(x) for x in (a, b))
+        for k, x in b.items():
+            a[k] = merge_item(a[k], x) if k in a else x
+        return a
     a = wrap_known(a, [x for x in b if x[INNER]])
     b = wrap_known(b, [x for x in a if x[INNER]])
     optional = lambda xs: [[*x[:OPTIONAL], True, *x[REPEATED:]] for x in xs]
@@ -241,16 +251,22 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return out if len(out) <= MAX_ITEMS else distinct_places(out)
 
 
-def distinct_places(items: list[list]) -> list[list]:
+def distinct_places(items: list[list]) -> dict[str, list]:
+    """All places of a wrapper, each once, keyed by level, boilerplate and path."""
     found: dict[str, list] = {}
     for x in leaves(items):
         x = [*x[:OPTIONAL], True, True, *x[PAGES:]]
-        found[x[PATH]] = merge_item(found[x[PATH]], x) if x[PATH] in found else x
-    return sorted(found.values(), key=lambda x: (-x[CHARS], x[PATH]))[:MAX_ITEMS]
+        key = f"{x[MAIN]}{int(x[BOILER])}{x[PATH]}"
+        if key in found:
+            pages = max(found[key][PAGES], x[PAGES])
+            x = merge_item(found[key], x)
+            x[PAGES] = pages
+        found[key] = x
+    return found
 
 
-def leaves(items: list[list]) -> Iterator[list]:
-    for x in items:
+def leaves(items: list[list] | dict[str, list]) -> Iterator[list]:
+    for x in items.values() if isinstance(items, dict) else items:
         if x[INNER]:
             yield from leaves(x[INNER])
         else:
@@ -266,7 +282,7 @@ def page_wrapper(page: str | None) -> list[list]:
     return fold([[p, whole(t), False, False, 1, len(t), round(len(t) * share), int(first), main, boiler, []] for p, t, main, boiler, share, first in blocks(page)])
 
 
-def article_places(wrapper: list[list]) -> tuple[list[int], dict[str, bool]]:
+def article_places(wrapper: list[list] | dict[str, list]) -> tuple[list[int], dict[str, bool]]:
     """Levels by weight, the article's last; of each place outside boilerplate whether it can hold article text."""
     own = [x for x in leaves(wrapper) if not x[BOILER]]
     most = max((x[PAGES] for x in own), default=0)
@@ -296,55 +312,70 @@ def extract(page: str | None, levels: list[int], places: dict[str, bool]) -> str
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON)."""
+    """host, places (JSON: the levels, and the places outside boilerplate that hold no article text)."""
 
     def infer(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        found: dict[str, list] = {}
+        found: dict[str, list | dict] = {}
+        held = 0
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], ["host", "wrapper"])
         for batch in batches:
             for host, page in zip(batch.column(0), batch.column(1), strict=True):
                 own = page_wrapper(page.as_py())
                 key = host.as_py()
+                held -= len(found.get(key, ()))
                 found[key] = align(found[key], own) if key in found else own
-                if len(found) > 20_000:
+                held += len(found[key])
+                if len(found) > MAX_HOSTS or held > MAX_HELD:
                     yield rows()
                     found.clear()
+                    held = 0
         yield rows()
 
+    def merged(found):
+        out: list | dict | None = None
+        for w in sorted(found):
+            w = json.loads(w)
+            out = w if out is None else align(out, w)
+        return out
+
     def merge(key, rows):
         import pandas as pd
 
-        out: list | None = None
-        for w in sorted(rows["wrapper"]):
-            w = json.loads(w)
-            out = w if out is None else align(out, w)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(out)]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(merged(rows["wrapper"]))]})
+
+    def decide(key, rows):
+        import pandas as pd
+
+        levels, places = article_places(merged(rows["wrapper"]))
+        return pd.DataFrame({"host": [key[0]], "places": [json.dumps([levels, {p: takes for p, takes in places.items() if not takes}])]})
 
     parts = pages.select("host", "html").mapInArrow(infer, "host string, wrapper string").withColumn("salt", F.spark_partition_id() % 32)
     some = parts.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    return some.groupBy("host").applyInPandas(decide, "host string, places string")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     p = pages.select("page_id", "url", "html", host.alias("host"))
-    known = maybe_broadcast(materialize(wrappers(p), "wrappers"), 5_000)
-    both = p.join(known, "host", "left").select("page_id", "url", "html", "host", "wrapper")
+    known = materialize(wrappers(p), "wrappers")
+    if (known.agg(F.sum(F.char_length("places"))).first()[0] or 0) <= MAX_SENT:
+        known = maybe_broadcast(known, 5_000)
+    both = p.join(known, "host", "left").select("page_id", "url", "html", "host", "places")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        places: dict[str, tuple[list[int], dict[str, bool]]] = {}
+        places: dict[str, list] = {}
         for batch in batches:
             texts = []
-            for page, host, wrapper in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+            for page, host, decided in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 if host not in places:
                     if len(places) > 5000:
                         places.clear()
-                    places[host] = article_places(json.loads(wrapper.as_py() or "[]"))
+                    places[host] = json.loads(decided.as_py() or "[[0, 1, 2], {}]")
                 texts.append(extract(page.as_py(), *places[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
