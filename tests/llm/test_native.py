@@ -197,3 +197,11 @@ def test_licenses_in_long_texts(spark):
     assert list(got[100]["labels"]) == sorted({label for label, *_ in licenses.TEMPLATES})
     assert len([s for s in got[100]["spans"] if s["score"] == 1.0]) == len(licenses.TEMPLATES)
     assert list(got[101]["labels"]) == []
+
+
+def test_licenses_key_phrases_alone(spark):
+    """A text of nothing but a key phrase, in any case, is found by it."""
+    rows = [(k, key.upper()) for k, (_, _, key) in enumerate(licenses.TEMPLATES)] + [(100, "free of charge, to any person obtaining a copy of this software")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[k] for k, (label, *_) in enumerate(licenses.TEMPLATES))
+    assert list(got[100]) == ["mit"]

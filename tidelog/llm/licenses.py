@@ -61,6 +61,13 @@ def build_index() -> tuple[list[tuple[str, int, int, bool]], list[tuple[int, str
     return postings, heads
 
 
+def needed_words() -> list[str]:
+    """Of each base phrase and key phrase its longest word; of those as long, the one that most phrases hold."""
+    phrases = [p.split() for p in (*PHRASES.values(), *(key for *_, key in TEMPLATES))]
+    held = Counter(w for p in phrases for w in set(p))
+    return sorted({max(p, key=lambda w: (len(w), held[w], w)) for p in phrases})
+
+
 def phrase_starts(words: str, places: Column, phrase: str) -> Column:
     """The places at which the phrase's words stand consecutively."""
 
@@ -78,8 +85,8 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     postings, heads = build_index()
     indexed = sorted({w for w, *_ in postings})
-    # Texts without any of these substrings hold no base phrase and too few rare words of any template to be a candidate.
-    needed = ["license", "cc", "warranties", "permission", "redistribution", "mozilla", "creative", "unencumbered"]
+    # Texts without any of these substrings hold no base phrase and no template's key phrase.
+    needed = needed_words()
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", text.alias("text")).withColumn("low", F.lower("text"))
     may = F.lit(False)
