@@ -106,6 +106,16 @@ def test_token_counts(spark, docs, corpus, empty):
     assert ledger.commit("d", inserts=token_counts.count_tokens(empty))
 
 
+def test_revisions_that_move_the_key(spark):
+    """The old key loses the document and its counts, the new one gets them; null is a key."""
+    schema = "doc_id long, source string, lang string, tokenizer string, n_chars long, n_tokens long"
+    ledger = token_counts.TokenLedger(spark)
+    ledger.commit("a", inserts=spark.createDataFrame([(1, "s", "en", "v1", 10, 3), (2, "s", "en", "v1", 20, 5), (3, None, "en", "v1", 7, 2)], schema))
+    more = f"{schema}, old_chars long, old_tokens long, old_source string, old_lang string, old_tokenizer string"
+    ledger.commit("b", revisions=spark.createDataFrame([(1, "s", "en", "v2", 10, 4, 10, 3, "s", "en", "v1"), (3, "s", "de", "v2", 8, 2, 7, 2, None, "en", "v1")], more))
+    assert {tuple(r) for r in ledger.totals().collect()} == {("s", "en", "v1", 1, 20, 5), ("s", "en", "v2", 1, 10, 4), ("s", "de", "v2", 1, 8, 2)}
+
+
 def test_classifier(spark, empty):
     rng = random.Random(3)
     rows, labels = [], []

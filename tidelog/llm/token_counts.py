@@ -66,7 +66,8 @@ class TokenLedger:
         return any(fs.exists(path) for path, fs in (self._path(f"batch={batch_id}", "_SUCCESS"), self._path("folded", batch_id)))
 
     def commit(self, batch_id: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revisions: DataFrame | None = None) -> bool:
-        """inserts and deletes: rows of count_tokens(); revisions: the same with old_chars and old_tokens.
+        """inserts and deletes: rows of count_tokens(); revisions: the same with old_chars and old_tokens, and with
+        old_source, old_lang and old_tokenizer where a revision may change these (each without: as the new one).
         Returns False, with nothing done, if the batch is committed already."""
         if self.committed(batch_id):
             return False
@@ -75,7 +76,9 @@ class TokenLedger:
             if df is not None:
                 rows.append(df.select(*KEYS, F.lit(sign).cast("long").alias("n_docs"), (F.col("n_chars") * sign).alias("n_chars"), (F.col("n_tokens") * sign).alias("n_tokens")))
         if revisions is not None:
-            rows.append(revisions.select(*KEYS, F.lit(0).cast("long").alias("n_docs"), (F.col("n_chars") - F.col("old_chars")).alias("n_chars"), (F.col("n_tokens") - F.col("old_tokens")).alias("n_tokens")))
+            was = [F.col(f"old_{k}" if f"old_{k}" in revisions.columns else k).alias(k) for k in KEYS]
+            rows.append(revisions.select(*was, F.lit(-1).cast("long").alias("n_docs"), (-F.col("old_chars")).alias("n_chars"), (-F.col("old_tokens")).alias("n_tokens")))
+            rows.append(revisions.select(*KEYS, F.lit(1).cast("long").alias("n_docs"), "n_chars", "n_tokens"))
         delta = rows[0]
         for r in rows[1:]:
             delta = delta.unionByName(r)
