@@ -1,9 +1,10 @@
 """Line dedup against levelled sorted runs of line hashes. DataFrame operations only.
 
 LineRuns holds runs: tables of (h1, h2, n_docs, last_doc), one row a line key, each sorted by the hashes
-inside hash ranges. A batch of documents is reduced to its own run, merge-anti-joined with the stored ones
-(which tells the keys never seen before) and appended at level 0; when a level has `fanout` runs they are
-merged into one of the next level. verdicts() merges what is left into the keys that enough documents hold.
+inside hash ranges. A batch of documents is reduced to its own run and appended at level 0; when a level has
+`fanout` runs they are merged into one of the next level. verdicts() sums what is left into the keys that
+enough documents hold. add() returns the keys never seen before as a lazy merge-anti-join with the stored
+runs; dedup_lines() has no use for them and doesn't run it.
 
 Defined cases: a null text is an empty text, that is one empty line; a null doc_id ranks below all others;
 rows with equal doc_id count as separate documents and get the same verdict; an empty table adds an empty run.
