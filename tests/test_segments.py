@@ -54,3 +54,21 @@ def test_data_source(spark, tmp_path):
     assert entries.filter("shard = 1").count() == 6
     assert seglog.read_entries(spark, str(tmp_path), shard=1).count() == 6
     assert seglog.read_headers(spark, str(tmp_path)).filter("kind = 'segment'").count() == 3
+
+
+def test_headers_of_all_segments(spark, tmp_path):
+    """Short segments too, and each is compressed exactly if that is smaller."""
+    from tidelog.plans import adapters, binary_queries
+
+    d = str(tmp_path)
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("event_id").limit(12).write.parquet(f"{d}/events.parquet")
+    want = {}
+    for r in adapters.log(spark, d).select("log_id", "ordinal", "seq").collect():
+        want.setdefault((str(r["log_id"]), r["ordinal"]), []).append(r["seq"])
+    got = {(r["log_id"], r["ordinal"]): r for r in binary_queries.all_headers(spark, d).collect()}
+    assert {k: (r["first_seq"], r["last_seq"], r["n"]) for k, r in got.items()} == {k: (min(s), max(s), len(s)) for k, s in want.items()}
+    assert min(r["n"] for r in got.values()) <= 8
+    assert {r["packed"] for r in got.values()} <= {S.CODEC_NONE, S.CODEC_ZSTD}
+    one = S.build("a", 0, 0, [S.Entry(1, 2, 3, b"f", [])])
+    assert S.compress(one) == one
+    assert S.parse_header(one).codec == S.CODEC_NONE
