@@ -57,7 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document that is left."""
-    return mix(docs)[0].select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix(docs)[0].select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 STAGES = [
