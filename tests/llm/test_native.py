@@ -1,13 +1,15 @@
 """Operators 1, 3, 4, 5 and 8 against plain Python versions."""
 
 import collections
+import hashlib
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, licenses, lines, mixing, quality_rules, registry
+from tidelog.llm import common, decontaminate, licenses, lines, mixing, quality_rules, registry
 
 from . import brute as B
 
@@ -56,6 +58,45 @@ def test_mixing_is_spread(spark):
         assert abs(part["s0"] / 300 - names.count("s0") / len(names)) < 0.03
 
 
+def test_mixing_follows_the_schedule(spark):
+    """Each document's first and last slot, by laying its source's stream over the slots in plain Python."""
+    rng = random.Random(4)
+    d = [(k, " ".join(["w"] * rng.randrange(0, 60)), f"s{min(rng.randrange(9), 3)}") for k in range(300)]
+    out, slots = mixing.mix(spark.createDataFrame(d, "doc_id long, text string, source string"), block=16)
+    size = {i: len(t.split()) for i, t, _ in d}
+    total = collections.Counter()
+    for i, _, s in d:
+        total[s] += size[i]
+    want = B.targets(total)
+    quota = {s: min(int(want[s] + 0.5), 3 * total[s]) for s in want}
+    names, full, at, low = sorted(quota), sum(quota.values()), {}, 0
+    for s in names:
+        at[s] = (int(low / full * 2**31), int((low + quota[s]) / full * 2**31))
+        low += quota[s]
+    n = -(-sum(total.values()) // 16)
+    line = {s: [k for k in range(n) if at[s][0] <= k * mixing.STEP % 2**31 < at[s][1]] for s in names}
+    for s in names:
+        line[s] = (line[s] + [n] * 10_000)[: -(-quota[s] // 16)]
+    assert sorted((r["source"], r["slot"]) for r in slots.collect()) == sorted((s, k) for s in names for k in line[s])
+    slot_of, place = {}, dict.fromkeys(names, 0)
+    for i, _, s in sorted(d, key=lambda r: hashlib.md5(f"17:{r[0]}".encode()).hexdigest()):
+        reads = [x for e in range(3) for x in range(place[s] + e * total[s], min(place[s] + e * total[s] + size[i], quota[s]))]
+        slot_of[i] = (min((line[s][x // 16] for x in reads), default=-1), max((line[s][x // 16] for x in reads), default=-1), len(reads))
+        place[s] += size[i]
+    assert {r["doc_id"]: (r["first_slot"], r["last_slot"], r["taken"]) for r in out.collect()} == slot_of
+
+
+def test_running_totals_by_ranges(spark):
+    """More rows than a task is given: the same totals, whatever the ranges."""
+    rows = [(f"k{(k * 7919) % 500:03d}", k) for k in range(500)]
+    t = common.materialize(spark.createDataFrame(rows, "key string, v long"), "totals")
+    got = {r["key"]: (r["rank"], r["before"]) for r in common.running_totals(t, "key", {"rank": F.lit(1), "before": F.col("v")}, rows_a_part=60).collect()}
+    low = 0
+    for k, (key, v) in enumerate(sorted(rows)):
+        assert got[key] == (k, low)
+        low += v
+
+
 def test_mixing_edges(spark, empty):
     assert mixing.mix(empty)[0].count() == 0
     schema = "doc_id long, text string, source string"
@@ -89,6 +130,51 @@ def test_line_runs_compact_and_know_what_is_new(spark):
     assert [r["last_doc"] for r in runs.verdicts().collect()] == [5]
 
 
+def test_runs_hold_each_key_once_and_are_merged_unshuffled(spark, monkeypatch):
+    """Keys come from anti-joins of sorted buckets: no plan of them sorts or shuffles, and no two runs share a key."""
+    plans = []
+    save = lines.LineRuns._save
+
+    def seen(self, rows):
+        with lines.sorted_buckets(self.spark):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return save(self, rows)
+
+    monkeypatch.setattr(lines.LineRuns, "_save", seen)
+    rng = random.Random(8)
+    pool = [f"line {k} " + "y" * 40 for k in range(40)]
+    runs, held = lines.LineRuns(spark, fanout=3, min_docs=4), collections.defaultdict(set)
+    for b in range(5):
+        batch = [(10 * b + i, "\n".join(rng.choices(pool, k=6))) for i in range(10)]
+        before = len(held)
+        for i, t in batch:
+            for x in t.split("\n"):
+                held[x].add(i)
+        assert runs.add(spark.createDataFrame(batch, "doc_id long, text string")).count() == len(held) - before
+    rows = [tuple(r) for run in runs.runs() for r in run.select("h1", "h2").collect()]
+    assert len(rows) == len(set(rows)) == len(held)
+    assert sorted(r["last_doc"] for r in runs.verdicts().collect()) == sorted(max(x) for x in held.values() if len(x) >= 4)
+    merged = [p for p in plans if "LeftAnti" in p or "FullOuter" in p]
+    assert len(merged) >= 5
+    assert all("SortMergeJoin" in p and "Exchange" not in p for p in merged)
+    assert all(" Sort " not in p for p in merged if "LeftAnti" in p)
+    names = set(runs.names)
+    runs.drop()
+    assert not names & {r["tableName"] for r in spark.sql("show tables").collect()}
+
+
+def test_line_dedup_on_repeated_rows_is_as_in_sql(spark, tmp_path):
+    x = "This line has more than forty characters in it."
+    rows = [(1, x), (1, x), (2, x + "\n" + x), (3, x), (3, "short"), (4, None), (5, x.upper() + "\t\nown")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.SQL["op4_line_dedup"]).fetchall()
+    got = registry.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert sum(r["n_dropped"] for r in got) == 5
+
+
 def test_line_dedup_edges(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
     x = "This line has more than forty characters in it."
@@ -152,11 +238,40 @@ def test_decontamination(spark, docs, corpus, empty, clashing):
     assert decontaminate.contaminated(clashing, items).count() == 0
 
 
-def test_blocks_find_all_within_the_radius(spark):
-    """Two fingerprints that differ in at most `radius` bits share a block."""
-    rows = [(x, x ^ sum(1 << b for b in {(7 * k + x) % 63 for k in range(23)})) for x in range(50)]
-    t = spark.createDataFrame(rows, "p long, q long").select(F.arrays_overlap(decontaminate.blocks("p", 23), decontaminate.blocks("q", 23)).alias("met"), F.bit_count(F.col("p").bitwiseXOR(F.col("q"))).alias("far"))
-    assert all(r["met"] for r in t.collect() if r["far"] <= 23)
+def test_index_finds_all_within_the_radius(spark):
+    """Two fingerprints that differ in at most `radius` bits meet: a block of one is among the probes of the other's."""
+    radius, rng = decontaminate.RADIUS, random.Random(11)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for far in list(range(radius + 1)) * 3:
+        p = rng.getrandbits(64)
+        rows.append((signed(p), signed(p ^ sum(1 << b for b in rng.sample(range(64), far)))))
+    t = spark.createDataFrame(rows, "p long, q long").select(F.monotonically_increasing_id().alias("id"), "p", "q")
+    left = t.select("id", F.explode(decontaminate.blocks("p")).alias("b")).select("id", "b.k", "b.v")
+    right = t.select("id", F.explode(decontaminate.blocks("q")).alias("b")).select("id", "b.k", F.explode(decontaminate.probes(F.col("b.v"), radius // decontaminate.BLOCKS)).alias("v"))
+    assert left.join(right, ["id", "k", "v"]).select("id").distinct().count() == len(rows)
+
+
+def test_decontamination_in_any_order(spark):
+    """Items whose parts are swapped, repeated, thinned or cut off by the text's end, among others of the same length."""
+    rng = random.Random(23)
+    vocabulary = [f"w{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choice(vocabulary) + str(k % 7) for _ in range(n))) for k, n in enumerate([40, 40, 40, 12, 25, 25, 60, 5, 9, 30])]
+    docs = []
+    for i in range(160):
+        w = items[i % len(items)][1].split()
+        cut = rng.randrange(1, len(w))
+        w = [w, w[cut:] + w[:cut], w + w, w[: max(5, len(w) - 3)], w[2:] + w[:2]][i % 5]
+        w = [x if rng.random() > 0.01 * (i % 4) else "other" for x in w]
+        before, after = ([rng.choice(vocabulary) for _ in range(rng.randrange(0, 50))] for _ in range(2))
+        docs.append((None if i % 16 == 0 else i, " ".join(before + w + (after if i % 3 else []))))
+    known = [(i, t) for i, t in docs if i is not None]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = B.leaks(known, items)
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["doc_id"] is not None} == want
+    assert {r["item_id"] for r in rows if r["doc_id"] is None} == {j for _, j in B.leaks([(k, t) for k, (i, t) in enumerate(docs) if i is None], items)}
+    swapped = [i for i, _ in known if i % 5 == 1]
+    assert {i for i, _ in want} & set(swapped)
 
 
 def test_licenses(spark, docs, corpus, empty, clashing):
