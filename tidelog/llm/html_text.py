@@ -17,8 +17,10 @@ A wrapper of more than MAX_ITEMS items is no longer aligned: it becomes the tabl
 of them, whose sums go on. So what one task holds of a host grows with the host's distinct places.
 
 Defined cases: null and empty html give an empty text; pages without a usable url share the host ''; markup
-cut off in the middle is read as far as it goes; repeated rows are answered alike; null ids pass through;
-an empty table gives an empty result; other columns are ignored.
+cut off in the middle is read as far as it goes; a very long page is read block by block, its wrapper a table
+of places from MAX_ITEMS items on; of levels that weigh the same (ties) the more marked one is the article's;
+repeated rows are answered alike; null ids pass through; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ words in their places is the score.
 
 Base phrases are counted beside it, wherever their words stand consecutively, and their labels always stay.
 
-Defined cases: a null or empty text has no words, no labels ('') and score 0; repeated rows are answered
-alike; null ids pass through; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no words, no labels ('') and score 0; of a very long text every
+indexed word votes; templates that fit as well (ties) all give their labels; repeated rows are answered alike;
+null ids pass through; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +42,18 @@ TEMPLATES = [
     ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("cc-by-nc", "this work is licensed under cc by nc 4 0", "cc by nc"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "particular purpose and noninfringement"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products derived"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "authors be held liable for any damages"),
+    ("bsl", "distributed under the boost software license version 1 0", "boost software license"),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "related or neighboring rights"),
+    ("artistic", "under the terms of the artistic license 2 0", "artistic license"),
+    ("cddl", "subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("psf", "licensed under the python software foundation license version 2", "python software foundation license"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without a written agreement"),
+    ("ms-pl", "licensed under the microsoft public license", "microsoft public license"),
+    ("eupl", "licensed under the eupl version 1 2 or later", "licensed under the eupl"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
 #: A word of at most so many templates is rare; so many votes make a candidate (no key phrase has fewer words).

@@ -8,8 +8,9 @@ probability that it is good reaches `min_posterior`, instead of when no rule obj
 There are at most 3^8 patterns whatever the input, so their counts are the one thing sent to the driver.
 
 Defined cases: a null or empty text has no words, all counts 0 (one empty line, which has no word), fails
-the base test and isn't kept; a null doc_id passes through; repeated rows are judged alike; an empty table
-gives an empty result; other columns of the input are ignored.
+the base test and isn't kept; a very long text is judged whole, from one array of its words' hashes; a
+posterior of just `min_posterior` (a tie) is kept; a null doc_id passes through; repeated rows are judged
+alike; an empty table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,14 +2,17 @@
 
 A string that a tokenizer's vocabulary has never met costs it about one token for one or two characters, a
 word or an identifier much less. Candidates are runs of at least `min_chars` characters of the usual
-alphabets of keys that mix letters and digits; those of known digest lengths in hex, UUIDs, dates, dotted
-names, and lower- or camel-case identifiers are excluded; the others are reported when they have fewer than
-`max_ratio` characters a token. What a fixed pattern has found already isn't reported twice.
+alphabets of keys that mix two of lower-case letters, upper-case letters and digits; those of known digest
+lengths in hex, UUIDs, numbers, and names of words in one case or capitalised are excluded; the others are
+reported when they have fewer than `max_ratio` characters a token, which camel-case names have not. What a
+fixed pattern has found already isn't reported twice.
 
 Python, because the vocabulary's merges are: rows pass one batch at a time and nothing is gathered.
 
-Defined cases: a null or empty text has no spans ('' and the digest of ''); repeated rows are answered
-alike; a null doc_id passes through; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no spans ('' and the digest of ''); a very long text is searched
+whole; of spans that start at one place (ties) the kinds' order decides; repeated rows are answered alike; a
+null doc_id passes through; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+CLASSES = [re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]")]
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 #: Hex digits of the usual digests (fixed values): MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_/-][A-Za-z]+)*[_-]?[0-9]{0,4}|[0-9/_-]+")
+IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_/-](?:[A-Z]?[a-z]+|[A-Z]+))*[_-]?[0-9]{0,4}|[0-9/_-]+")
 
 
 def encoding(vocabulary: str):
@@ -70,7 +73,7 @@ def random_spans(text: str, count, max_ratio: float, min_chars: int, taken: list
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if len(s) < min_chars or not LETTER.search(s) or not DIGIT.search(s) or excluded(s) or any(a < m.end() and m.start() < b for a, _, b in taken):
+        if len(s) < min_chars or sum(c.search(s) is not None for c in CLASSES) < 2 or excluded(s) or any(a < m.end() and m.start() < b for a, _, b in taken):
             continue
         if len(s) < max_ratio * count(s):
             out.append((m.start(), 3, m.end()))
