@@ -1,8 +1,10 @@
 """N-gram Jaccard join: a size-aware, heavy-light join on the exact similarity of shingle sets.
 
 Texts with the same set are one class; links are sought between classes. All tasks order shingles alike:
-by hash, after that those that many texts hold (counted over all texts), the rarest of them first. Overlap filters then hold as they
-do for any common order:
+by hash, after that those that many texts hold, by how many. Texts are counted for all shingles; what tasks
+are told of the counts is a table of 2^CELL_BITS bytes, whatever the input: for each cell of the hashes the
+greatest count in it, as a level (two to the doubling). Any common order is right; this one keeps lists
+short. Overlap filters then hold as they do for any common order:
 
 * A small set enumerates the c-subsets (c = 2) of its first n - o + c shingles, o the least overlap with a
   partner; two small sets that link share a subset.
@@ -16,15 +18,17 @@ Lists of more than `LONG` classes occur where near copies are many. Their classe
 a few pivots, those of the list that are in most long lists (near copies with few changes are), which joins
 near copies into components; of such a list only pairs between its largest component and the rest, and
 within the rest, are still compared. So no list makes all its pairs, and no pair of different components
-is lost.
+is lost. A list whose shingles very many texts hold is dealt in salted parts from the start, so no task
+reads all of it, and what is compared of a list is dealt in cells of at most CELL classes a side.
 
 Candidates are verified on their full sets, streamed past one of the two, whose partners are salted.
 
 Hashes have 64 bits; a class has 128. That a shingle's hash stands for it is the only thing not verified.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are their own component;
+very long texts are hashed in pieces and have one sorted set; sets exactly as similar as asked (ties) link;
 rows with equal doc_id are separate rows; a null doc_id is never a component's smallest unless all are null;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,15 +49,17 @@ WIDTH = 5
 #: Jaccard similarity of at least NUM / DEN.
 NUM, DEN = 80, 100
 SUBSET = 2
-#: A shingle of so many texts is common; at most so many common shingles are broadcast, the most common ones.
-COMMON, MAX_COMMON = 50, 1_000_000
+#: A shingle of so many texts is common. Cells of the table of levels, as a power of 2.
+COMMON, CELL_BITS = 50, 24
 LONG = 64
+#: Lists whose shingle more texts hold are dealt in parts of about so many classes; cells of compared lists have so many a side.
+DEALT, CELL = 2048, 1024
 #: Steps along long lists that are verified for each class.
 STEPS = 4
 #: Bits of a shingle's hash that are counted, and how many counts are sent on at once.
 COUNT_BITS, COUNT_ROWS = 40, 2_000_000
 #: Partners of one set that are verified in one task.
-PARTNERS = 500
+PARTNERS = 64
 
 
 def least_overlap(n: int) -> int:
@@ -70,8 +76,19 @@ def compatible(n, m):
     return (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
 
 
-def count_common(docs: DataFrame) -> tuple[list[tuple[int, int]], float]:
-    """(hash cut to COUNT_BITS and texts of each common shingle, sorted; mean length of the other lists)."""
+def level(texts):
+    """Of shingles that so many texts hold: 0 below COMMON, from there on a step for each half of a doubling."""
+    return np.where(texts < COMMON, 0, np.minimum(255, 1 + np.floor(2 * np.log2(np.maximum(texts, COMMON) / COMMON)))).astype(np.uint8)
+
+
+def parts_of(level_of):
+    """In how many parts lists of shingles of a level are dealt: a power of 2, 1 for those that can't be long."""
+    texts = COMMON * 2 ** (level_of.astype(np.float64) / 2)
+    return np.where(texts <= 2 * DEALT, 1, 2 ** np.ceil(np.log2(np.maximum(texts / DEALT, 1)))).astype(np.int64)
+
+
+def count_common(docs: DataFrame) -> tuple[list[tuple[int, int, bytes]], float]:
+    """(stretches of the table of levels that aren't all 0: first cell, cells, zstd; mean length of the other lists)."""
     parts = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator) -> Iterator:
@@ -114,15 +131,28 @@ def count_common(docs: DataFrame) -> tuple[list[tuple[int, int]], float]:
         values, total = values[first], np.add.reduceat(times.astype(np.int64), first)
         many = total >= COMMON
         few = total[~many]
-        out = pd.DataFrame({"token": values[many].astype(np.int64), "n": total[many], "square": 0.0})
-        out.loc[len(out)] = [-1, int(few.sum()), float((few * few).sum())]
-        return out.astype({"token": "int64", "n": "int64", "square": "float64"})
+        cells = (values[many] >> np.uint64(COUNT_BITS - CELL_BITS)).astype(np.int64)
+        first = int(cells[0]) if len(cells) else 0
+        levels = np.zeros(int(cells[-1]) - first + 1 if len(cells) else 0, np.uint8)
+        np.maximum.at(levels, cells - first, level(total[many]))
+        data = pa.compress(levels.tobytes(), codec="zstd", asbytes=True) if len(cells) else b""
+        return pd.DataFrame({"first": [first], "cells": [len(levels)], "data": [data], "n": [int(few.sum())], "square": [float((few * few).sum())]})
 
     sent = docs.select("text").mapInArrow(count, "bucket int, n long, gaps binary, times binary")
-    found = materialize(sent.groupBy("bucket").applyInPandas(add, "token long, n long, square double"), "common")
-    rest = found.filter("token = -1").agg(F.sum("n"), F.sum("square")).first()
-    top = found.filter("token >= 0").orderBy(F.desc("n"), "token").limit(MAX_COMMON).select("token", "n").collect()
-    return sorted((r[0], r[1]) for r in top), (rest[1] / rest[0] if rest[0] else 1.0)
+    found = materialize(sent.groupBy("bucket").applyInPandas(add, "first long, cells long, data binary, n long, square double"), "common")
+    rest = found.agg(F.sum("n"), F.sum("square")).first()
+    table = found.filter("cells > 0").select("first", "cells", "data").collect()  # 2^CELL_BITS bytes at most, compressed
+    return [(r[0], r[1], bytes(r[2])) for r in table], (rest[1] / rest[0] if rest[0] else 1.0)
+
+
+def levels_of(stretches: list[tuple[int, int, bytes]]) -> np.ndarray:
+    import pyarrow as pa
+
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    for first, cells, data in stretches:
+        part = out[first : first + cells]
+        np.maximum(part, np.frombuffer(pa.decompress(data, decompressed_size=cells, codec="zstd", asbytes=True), np.uint8), out=part)
+    return out
 
 
 def boundary(mean_list: float) -> int:
@@ -136,16 +166,17 @@ def boundary(mean_list: float) -> int:
     return n
 
 
-def keys(docs: DataFrame, common: list[tuple[int, int]], x: int) -> DataFrame:
-    """key, node, n, pos: what each set posts. pos: twice the shingle's place in the set's order; for a subset,
-    that before its last shingle's, and 1 more to tell it apart."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([t for t, _ in common], np.uint64), np.array([n for _, n in common], np.int64)))
+def keys(docs: DataFrame, common: list[tuple[int, int, bytes]], x: int) -> DataFrame:
+    """key, node, n, pos, part: what each set posts. pos: twice the shingle's place in the set's order; for a subset,
+    that before its last shingle's, and 1 more to tell it apart. part: of a list dealt in parts, else -1."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        late, texts = shared.value
+        table = levels_of(shared.value)
         met: set[tuple[int, int]] = set()
+        part = lambda at, d: np.where(parts_of(at) > 1, d[1] & (parts_of(at) - 1), -1).astype(np.int32)
         for batch in batches:
             out: list[tuple] = []
             for s in shingle_sets(batch.column(0), WIDTH):
@@ -157,26 +188,24 @@ def keys(docs: DataFrame, common: list[tuple[int, int]], x: int) -> DataFrame:
                     continue
                 if len(met) < 200_000:
                     met.add(d)
-                if len(late):
-                    cut = s >> np.uint64(64 - COUNT_BITS)
-                    at = np.searchsorted(late, cut)
-                    at = np.minimum(at, len(late) - 1)
-                    last = late[at] == cut
-                    if last.any():
-                        s = np.concatenate([s[~last], s[last][np.lexsort((s[last], texts[at[last]]))]])
+                at = table[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                if at.any():
+                    order = np.argsort(at, kind="stable")
+                    s, at = s[order], at[order]
                 if n <= x:
                     p = s[: prefix_length(n, SUBSET)].tolist()
-                    two = [(min(a, b) * 0x9E3779B97F4A7C15 + max(a, b), 2 * i - 1) for i, b in enumerate(p) for a in p[:i]]
-                    out.append((mixed(np.array([k & 0xFFFFFFFFFFFFFFFF for k, _ in two], np.uint64)), d[0], n, np.array([i for _, i in two], np.int32)))
+                    two = [(min(a, b) * 0x9E3779B97F4A7C15 + max(a, b), 2 * i - 1, j) for i, b in enumerate(p) for j, a in enumerate(p[:i])]
+                    # A subset's list is no longer than that of its rarer shingle, which comes first.
+                    out.append((mixed(np.array([k & 0xFFFFFFFFFFFFFFFF for k, *_ in two], np.uint64)), d[0], n, np.array([i for _, i, _ in two], np.int32), part(at[[j for *_, j in two]], d)))
                 if n > x or n * DEN >= (x + 1) * NUM:
                     p = prefix_length(n)
-                    out.append((s[:p], d[0], n, 2 * np.arange(p, dtype=np.int32)))
+                    out.append((s[:p], d[0], n, 2 * np.arange(p, dtype=np.int32), part(at[:p], d)))
             if out:
-                times = [len(o[0]) for o in out]
-                cols = [np.concatenate([o[0] for o in out]).view(np.int64), *[np.repeat(np.array([o[k] for o in out], kind), times) for k, kind in ((1, np.int64), (2, np.int32))], np.concatenate([o[3] for o in out])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "n", "pos"])
+                sizes = [len(o[0]) for o in out]
+                cols = [np.concatenate([o[0] for o in out]).view(np.int64), *[np.repeat(np.array([o[k] for o in out], kind), sizes) for k, kind in ((1, np.int64), (2, np.int32))], *[np.concatenate([o[k] for o in out]) for k in (3, 4)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "n", "pos", "part"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "key long, node long, n int, pos int, part int")
 
 
 def promising(n, m, i, j, least):
@@ -187,7 +216,7 @@ def promising(n, m, i, j, least):
 
 def list_pairs(posted: DataFrame) -> DataFrame:
     """The pairs of compatible sizes of lists of up to LONG classes (a, b, their sizes n, m and places i, j),
-    and the rows of longer lists (key, node as a, n, i; b null)."""
+    and the rows of longer lists and of those dealt in parts (key, node as a, n, i; b null)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -230,7 +259,10 @@ def list_pairs(posted: DataFrame) -> DataFrame:
                 yield batch_of(*[np.concatenate([x[k] for x in pairs]) for k in range(7)])
 
         for batch in batches:
-            c = [batch.column(k).to_numpy() for k in range(4)]
+            c = [batch.column(k).to_numpy() for k in range(5)]
+            if (dealt := c.pop() >= 0).any():
+                yield batch_of(*[x[dealt] for x in c])
+                c = [x[~dealt] for x in c]
             if not len(c[0]):
                 continue
             if long_key is not None:
@@ -254,7 +286,7 @@ def list_pairs(posted: DataFrame) -> DataFrame:
             yield from handle(left)
 
     parts = max(64, 2 * int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = posted.repartition(parts, "key").sortWithinPartitions("key")
+    dealt = posted.repartition(parts, "key", "part").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "key long, a long, b long, n int, m int, i int, j int")
 
 
@@ -360,13 +392,18 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     long = rows.join(comp, "node", "left").withColumn("root", F.coalesce(F.concat(F.lit("c"), F.col("root").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string"))))
     sizes = long.groupBy("key", "root").count()
-    main = sizes.groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    main = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("roots"), F.sum("count").alias("all")).filter("roots > 1")
+    cells = lambda n: F.ceil(n / CELL).cast("int")
+    main = main.select("key", F.col("main.root").alias("main"), cells(F.col("all")).alias("wide"), cells(F.col("all") - F.col("main.count")).alias("high"))
     long = long.join(main, "key")
-    o, t = long.filter("root <> main").alias("o"), long.alias("t")
+    # All of a list against those outside its largest component, in cells of CELL by CELL classes.
+    cell = lambda own, of, other: [F.pmod(F.xxhash64("node"), F.col(of)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1))]
+    o = long.filter("root <> main").select("*", *cell("y", "high", "wide")).withColumnRenamed("col", "x").alias("o")
+    t = long.select("*", *cell("x", "wide", "high")).withColumnRenamed("col", "y").alias("t")
     c = F.col
     fits = compatible(c("o.n"), c("t.n")) & promising(c("o.n"), c("t.n"), F.shiftright("o.i", 1), F.shiftright("t.i", 1), F.least)
     once = (c("t.root") == c("t.main")) | (c("o.node") < c("t.node"))
-    cross = o.join(t, (c("o.key") == c("t.key")) & (c("o.root") != c("t.root")) & fits & once)
+    cross = o.join(t, (c("o.key") == c("t.key")) & (c("o.x") == c("t.x")) & (c("o.y") == c("t.y")) & (c("o.root") != c("t.root")) & fits & once)
     first = c("o.node") < c("t.node")
     side = lambda x, y: [F.when(first, c(f"{x}.{k}")).otherwise(c(f"{y}.{k}")) for k in ("node", "n", "i")]
     (a, n, i), (b, m, j) = side("o", "t"), side("t", "o")
