@@ -12,13 +12,17 @@ def _min_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _round(edges: DataFrame) -> DataFrame:
+#: Least neighbours of the nodes of so many edges are broadcast, so that a node with many neighbours isn't one task's.
+FEW_EDGES = 150_000
+
+
+def _round(edges: DataFrame, few: bool) -> DataFrame:
     """edges (u > v). Large star: greater neighbours go to the least one; small star: so do the others."""
+    told = F.broadcast if few else lambda df: df
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _min_neighbour(both).withColumn("m", F.least("u", "m"))
+    least = told(_min_neighbour(both).withColumn("m", F.least("u", "m")))
     large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    least = _min_neighbour(large)
-    joined = large.join(least, "u")
+    joined = large.join(told(_min_neighbour(large)), "u")
     small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
     return small.distinct()
 
@@ -36,6 +40,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark or now[0] == 0:
             break
         mark = now
-        edges = materialize(_round(edges), "edges")
+        edges = materialize(_round(edges, now[0] <= FEW_EDGES), "edges")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
