@@ -26,6 +26,13 @@ def subtract_counts(mine: DataFrame, other: DataFrame) -> DataFrame:
     return both.withColumn("uncertain", F.greatest("uncertain", F.lit(0))).filter("objects <> 0 or bytes <> 0 or uncertain <> 0")
 
 
+def net_counts(changes: DataFrame, minus: Column) -> DataFrame:
+    """subtract_counts() of one table's rows: the others less those marked `minus`, in one pass."""
+    signed = lambda c: F.sum(F.when(minus, -F.col(c)).otherwise(F.col(c))).cast("long")
+    both = changes.groupBy("component").agg(*[signed(c).alias(c) for c in COUNTS])
+    return both.withColumn("uncertain", F.greatest("uncertain", F.lit(0))).filter("objects <> 0 or bytes <> 0 or uncertain <> 0")
+
+
 def make_uncertain(counts: DataFrame) -> DataFrame:
     return counts.withColumn("uncertain", F.greatest("uncertain", F.lit(1).cast("long")))
 
@@ -38,8 +45,9 @@ def effects(ops: DataFrame, means: DataFrame) -> DataFrame:
     """ops (path, i, op, kind, size, component) with what each adds: objects, bytes, uncertain.
 
     op is put (kind create, replace or overwrite), delete, or list (a size seen, which adds nothing).
-    A path's size is known from its last put or listing, until a delete."""
-    before = W.partitionBy("path").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    A path's size is known from its last put or listing, until a delete. Rows of equal i come by op, kind and size.
+    means has a row a component, which are the few labels of component(), so it is broadcast."""
+    before = W.partitionBy("path").orderBy("i", "op", "kind", "size").rowsBetween(W.unboundedPreceding, -1)
     known = F.last(F.struct(F.when(F.col("op") != "delete", F.col("size")).alias("s"))).over(before)["s"]
     t = ops.withColumn("_old", known).join(F.broadcast(means), "component", "left").withColumn("_mean", F.coalesce("mean", F.lit(0).cast("long")))
     old, size = F.col("_old"), F.col("size")
@@ -70,7 +78,7 @@ def window_sides(ops: DataFrame, pages: DataFrame, skew: int) -> DataFrame:
 
     edges = pages.select(F.coalesce(F.concat(F.lit("0"), "last"), F.lit("1")).alias("last"), "s", "r")
     keyed = ops.withColumn("_k", F.concat(F.lit("0"), "path"))
-    out = asof_join(keyed, edges, "_k", "last", direction="forward", values=["s", "r"])
+    out = asof_join(keyed, edges, "_k", "last", direction="forward", values=["s", "r"], few=True)
     side = F.when(F.col("match").isNull(), "after").when(F.col("end") + skew < F.col("match.s"), "before").when(F.col("start") > F.col("match.r") + skew, "after").otherwise("unsure")
     return out.withColumn("side", side).drop("_k", "match")
 
@@ -188,11 +196,19 @@ def newest_handle(handles: DataFrame) -> DataFrame:
 
 def prometheus_text(series: DataFrame) -> DataFrame:
     """line: one a series, in text exposition format; labels is a map."""
-    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(F.regexp_replace(e["value"], r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')))
+    value = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), value(e["value"]), F.lit('"')))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
     return series.select(F.concat(F.col("name"), labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
 
 
+def exposition(series: DataFrame, kinds: DataFrame) -> DataFrame:
+    """A whole page of series: name, line, place. Each name's TYPE line (place 0) comes before its series; kinds: name, kind."""
+    heads = series.select("name").distinct().join(kinds, "name").select("name", F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind").alias("line"), F.lit(0).alias("place"))
+    lines = prometheus_text(series).select(F.regexp_extract("line", r"^[^{ ]+", 0).alias("name"), "line", F.lit(1).alias("place"))
+    return heads.unionByName(lines)
+
+
 def page_gaps(pages: DataFrame) -> DataFrame:
     """Time between the starts of a listing's pages: listing, page, gap."""
     order = W.partitionBy("listing").orderBy("page")
@@ -202,3 +218,30 @@ def page_gaps(pages: DataFrame) -> DataFrame:
 def backfill_summary(backfills: DataFrame) -> DataFrame:
     """Without the timeline and the counts by component."""
     return backfills.drop("timeline", "components")
+
+
+# --- windows of a listing: changes made while everything is listed ---
+
+
+def capture_window(changes: DataFrame, begin_us: int, end_us: int | None, kept: int) -> DataFrame:
+    """changes (i, end, ...) with part: 'before' the window of a listing, in the 'window' (the first `kept` by i,
+    which are sorted by the listing later), 'overflow' (the rest of the window) or 'after'. end_us null: it is open."""
+    inside = (F.col("end") >= begin_us) & (F.lit(True) if end_us is None else F.col("end") < end_us)
+    last = F.broadcast(changes.filter(inside).orderBy("i").limit(kept).agg(F.max("i").alias("_last")))  # one row
+    part = F.when(F.col("end") < begin_us, "before").when(~inside, "after").when(F.col("i") <= F.col("_last"), "window").otherwise("overflow")
+    return changes.join(last).withColumn("part", part).drop("_last")
+
+
+def end_window(captured: DataFrame, pages: DataFrame, skew: int, done: bool) -> DataFrame:
+    """What the changes add by component once the window has ended: those kept are sorted against the listing's
+    pages, what overflowed is uncertain; of a listing that didn't finish the whole window is."""
+    own = captured.filter("part = 'window'")
+    sorted_out = classify_window(own, pages, skew) if done else make_uncertain(own)
+    return fold_counts(captured.filter("part in ('before', 'after')"), make_uncertain(captured.filter("part = 'overflow'")), sorted_out)
+
+
+def local_view(captured: DataFrame) -> DataFrame:
+    """One node's part of the statistics: its pending counts by component (those from before the window included)
+    and how many changes its window holds."""
+    n = F.broadcast(captured.agg(F.count(F.when(F.col("part") == "window", 1)).alias("window_changes")))  # one row
+    return fold_counts(captured.filter("part in ('before', 'after')")).join(n)

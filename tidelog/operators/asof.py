@@ -6,19 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import range_of
+from .ranges import parts_for, range_of
 
+#: A right side of so many rows at most can be looked up in the plan itself.
+FEW = 64
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, direction: str = "backward", values: list[str] | None = None, parts: int = 64) -> DataFrame:
+
+def _look_up(left: DataFrame, right: DataFrame, left_on: str, right_on: str, back: bool, values: list[str]) -> DataFrame | None:
+    """left with `match` from a right side of FEW rows at most, which become a sorted array: no shuffle, no second
+    scan. None for larger ones."""
+    best = right.filter(F.col(right_on).isNotNull()).groupBy(F.col(right_on).alias("_at")).agg(F.max(F.struct(*values)).alias("_value"))
+    rows = sorted(best.limit(FEW + 1).collect(), key=lambda r: r["_at"])
+    if len(rows) > FEW:
+        return None
+    kinds = {c: right.schema[c].dataType for c in (right_on, *values)}
+    none = F.lit(None).cast(best.schema["_value"].dataType)
+    if not rows:
+        return left.withColumn("match", none)
+    place = F.col(left_on)
+    passed = [(place >= b if back else place > b).cast("int") for b in (F.lit(r["_at"]).cast(kinds[right_on]) for r in rows)]
+    every = F.array(*[F.struct(*[F.lit(r["_value"][c]).cast(kinds[c]).alias(c) for c in values]) for r in rows])
+    n = sum(passed[1:], passed[0])
+    at = n if back else n + 1
+    return left.withColumn("match", F.when((at >= 1) & (at <= len(rows)), F.element_at(every, F.greatest(F.lit(1), F.least(at, F.lit(len(rows)))))).otherwise(none))
+
+
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, direction: str = "backward", values: list[str] | None = None, parts: int | None = None, few: bool = False) -> DataFrame:
     """left with, as a struct `match`, the right row nearest by right_on: at most left_on (backward) or at
     least (forward). Null where there is none or the place is null; of right rows at the same place, the greatest in `values`.
 
     Both sides are united and swept once. With `by` that is a window over the keys. Without, rows are dealt
-    by ranges of the place, swept in each, and what a range leaves open is what the nearest range beside it
-    that has a right row ends with: one row a range is carried over, and no task sees all rows."""
+    by ranges of the place (as many as the input's size asks for), swept in each, and what a range leaves open
+    is what the nearest range beside it that has a right row ends with: one row a range is carried over, and no
+    task sees all rows. few: the right side is control state, known to be small; if it has FEW rows at most, it
+    becomes an array in the plan instead."""
     by = by or []
     values = values or [c for c in right.columns if c not in by]
     back = direction == "backward"
+    if few and not by and (found := _look_up(left, right, left_on, right_on, back, values)) is not None:
+        return found
     row = F.struct(*left.columns)
     none = lambda df, c: F.lit(None).cast(df.select(c).schema[0].dataType)
     one = left.select(*by, F.col(left_on).alias("_at"), F.lit(1 if back else 0).alias("_side"), row.alias("_row"), none(right, F.struct(*values)).alias("_value"))
@@ -30,6 +56,9 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     placed = lambda c: F.when(F.col("_at").isNotNull(), c if isinstance(c, Column) else F.col(c))
     if by:
         return both.withColumn("match", swept(by)).filter("_row is not null").select("_row.*", placed("match").alias("match"))
+    parts = parts or parts_for(left, right)
+    if parts == 1:
+        return both.withColumn("match", swept([F.lit(0)])).filter("_row is not null").select("_row.*", placed("match").alias("match"))
     dealt = both.withColumn("_p", range_of(both.select("_at"), "_at", parts))
     ends = dealt.filter("_value is not null").groupBy("_p").agg((F.max if back else F.min)("_at").alias("_end")).alias("e")
     ends = dealt.alias("d").filter("_value is not null").join(F.broadcast(ends), (F.col("d._p") == F.col("e._p")) & (F.col("d._at") == F.col("e._end"))).groupBy(F.col("d._p").alias("_p")).agg(F.max("d._value").alias("_last"))

@@ -11,7 +11,7 @@ from .asof import asof_join
 def magic_of(levels: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (level) with the magic of the newest level at or below it that has one. levels: level, magic."""
     known = levels.filter("magic is not null").select("level", "magic")
-    return asof_join(asked, known, "level", "level", values=["level", "magic"]).select("level", F.col("match.magic").alias("magic"))
+    return asof_join(asked, known, "level", "level", values=["level", "magic"], few=True).select("level", F.col("match.magic").alias("magic"))
 
 
 def in_window(clusters: DataFrame, low: int, high: int) -> DataFrame:

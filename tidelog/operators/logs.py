@@ -72,6 +72,40 @@ def backfill(log: DataFrame, segments: DataFrame, after: int, until: int, slots:
     return merge_logs(rows.join(wanted, ["log_id", "ordinal"], "left_semi"))
 
 
+def backfill_parts(log: DataFrame, segments: DataFrame, after: int, until: int, parts: list[tuple[int, int]]) -> DataFrame:
+    """The replays of several slot ranges [lo, hi) in one pass: part (its number), seq, ... Each is backfill() of its range."""
+    wanted = gap_free_prefix(segments).filter((F.col("last_seq") > after) & (F.col("first_seq") <= until)).select("log_id", "ordinal")
+    rows = log.filter((F.col("seq") > after) & (F.col("seq") <= until))
+    own = F.array_compact(F.array(*[F.when((F.col("slot") >= lo) & (F.col("slot") < hi), F.lit(k)) for k, (lo, hi) in enumerate(parts)]))
+    rows = rows.withColumn("part", F.explode(own)).join(wanted, ["log_id", "ordinal"], "left_semi")
+    others = [c for c in rows.columns if c not in ("seq", "part", "log_id")]
+    best = F.min_by(F.struct("log_id", *others), F.col("log_id"))
+    return rows.groupBy("part", "seq").agg(best.alias("_b")).select("part", "seq", "_b.*")
+
+
+def page_of(rows: DataFrame, max_bytes: int, size: str = "bytes", key: str = "seq", parts: int | None = None) -> DataFrame:
+    """The first page of rows in key order: up to the row with which max_bytes is reached, so one row at least.
+    Keys are distinct."""
+    from .ranges import parts_for, running_totals
+
+    return running_totals(rows, key, {"_before": F.col(size)}, parts or parts_for(rows)).filter(F.col("_before") < max_bytes).drop("_before")
+
+
+def read_status(wanted: DataFrame, segments: DataFrame) -> DataFrame:
+    """wanted (log_id, ordinal) with status: what a reader finds there. segment or fence; without an object, 'pruned'
+    if retention has overtaken the reader, that is if the log's lowest object is past it or none is left, else 'missing'."""
+    first = first_ordinal(segments)
+    out = wanted.join(segments.select("log_id", "ordinal", "kind"), ["log_id", "ordinal"], "left").join(first, "log_id", "left")
+    gone = F.coalesce(F.col("first_ordinal") > F.col("ordinal"), F.lit(True))
+    return out.withColumn("status", F.coalesce("kind", F.when(gone, "pruned").otherwise("missing"))).drop("kind", "first_ordinal")
+
+
+def with_tail(stored: DataFrame, tail: DataFrame, floor: int) -> DataFrame:
+    """Stored events up to the floor, and above it those that are emitted but not stored yet, from their producer's
+    own copy; where both have an event, it comes once."""
+    return stored.filter(F.col("seq") <= floor).unionByName(tail.filter(F.col("seq") > floor))
+
+
 def retained_floor(reports: DataFrame) -> DataFrame:
     """The seq below which some log may be pruned; 0 without reports."""
     return reports.agg(F.coalesce(F.max("pruned_seq"), F.lit(0)).cast("long").alias("retained_floor"))

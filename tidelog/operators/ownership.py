@@ -46,10 +46,11 @@ def layout_frame(spark: SparkSession, layout: list[tuple[int, int, int]]) -> Dat
     return spark.createDataFrame(layout, "shard long, lo int, hi int")
 
 
-def layout_faults(layout: DataFrame, next_id: int) -> DataFrame:
-    """What is wrong with a layout, one row a fault: rule, shard."""
-    order = W.orderBy("lo")
-    t = layout.withColumn("_prev", F.lag("hi").over(order)).withColumn("_next", F.lead("lo").over(order)).withColumn("_same", F.count("*").over(W.partitionBy("shard")))
+def layout_faults(layout: DataFrame, next_id: int, by: list[str] | None = None) -> DataFrame:
+    """What is wrong with a layout, or with each of many told apart by `by`, one row a fault: by, rule, shard."""
+    by = by or []
+    order = W.partitionBy(*(by or [F.lit(0)])).orderBy("lo")
+    t = layout.withColumn("_prev", F.lag("hi").over(order)).withColumn("_next", F.lead("lo").over(order)).withColumn("_same", F.count("*").over(W.partitionBy(*by, "shard")))
     rules = {
         "start": F.col("_prev").isNull() & (F.col("lo") != 0),
         "gap": F.col("_prev").isNotNull() & (F.col("lo") != F.col("_prev")),
@@ -59,7 +60,7 @@ def layout_faults(layout: DataFrame, next_id: int) -> DataFrame:
         "twice": F.col("_same") > 1,
     }
     found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
-    return t.select(F.explode(found).alias("rule"), "shard").distinct()
+    return t.select(*by, F.explode(found).alias("rule"), "shard").distinct()
 
 
 def route(rows: DataFrame, layout: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.python_scalars import frame_meta_udf, ip_key
-from ..operators import delivery as D
+from ..operators.logs import zone_map
 from ..sources import seglog, segments
-from ..streaming.merge import Merger, accept_stream
+from ..streaming.merge import Merger, accept_stream, hand_off
 from . import adapters as A
 from .adapters import LOG
 from .log_queries import ARRIVED, OUTCOME, arrived
@@ -37,14 +37,7 @@ def _sealed(spark: SparkSession, d: str) -> DataFrame:
 def segment_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Events through sealed, compressed segments and back."""
 
-    def read(batches):
-        import pandas as pd
-
-        for df in batches:
-            rows = [(r[0], r[1], r[3], r[4], r[6].decode()) for data in df["data"] for r in seglog.entry_rows(bytes(data), None, False)]
-            yield pd.DataFrame(rows, columns=["log_id", "ordinal", "seq", "shard", "frame"])
-
-    return _sealed(spark, d).mapInPandas(read, "log_id string, ordinal long, seq long, shard long, frame string")
+    return seglog.parse_objects(_sealed(spark, d)).select("log_id", "ordinal", "seq", "shard", F.col("frame").cast("string").alias("frame"))
 
 
 def all_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -96,16 +89,44 @@ def stream_accept(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
-@query(f"WITH {LOG} SELECT seq, event_id, log_id FROM log WHERE seq <= (SELECT min(m) FROM (SELECT max(seq) AS m FROM log GROUP BY log_id))")
-def stream_merge(spark: SparkSession, d: str) -> DataFrame:
-    """merge_min_watermark as a stream of four files, one a quarter of each log's ordinals."""
+def _merged(spark: SparkSession, d: str, logs: list[int], late_log: int | None = None) -> Merger:
+    """The log as a stream of four files, one a quarter of its ordinals, through a Merger. late_log: joins with the
+    third file, and its earlier quarters aren't sent."""
     log = A.log(spark, d).select("log_id", "seq", "event_id", F.lit("event").alias("kind"), "ordinal")
     source, work = work_path(spark, "merge-in"), work_path(spark, "merge")
     last = log.agg(F.max("ordinal")).first()[0] or 0
     for k in range(4):
-        log.filter((F.col("ordinal") * 4 >= k * (last + 1)) & (F.col("ordinal") * 4 < (k + 1) * (last + 1))).drop("ordinal").coalesce(1).write.parquet(f"{source}/part={k}")
-    merger = Merger(spark, work, [0, 1, 2, 3], "log_id long, seq long, event_id long")
+        rows = log.filter((F.col("ordinal") * 4 >= k * (last + 1)) & (F.col("ordinal") * 4 < (k + 1) * (last + 1))).drop("ordinal")
+        if late_log is not None and k < 2:
+            rows = rows.filter(F.col("log_id") != late_log)
+        elif late_log is not None and k == 2:
+            rows = rows.unionByName(spark.range(1).select(F.lit(late_log).cast("long").alias("log_id"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("event_id"), F.lit("join").alias("kind")))
+        rows.coalesce(1).write.parquet(f"{source}/part={k}")
+    merger = Merger(spark, work, logs, "log_id long, seq long, event_id long")
     rows = spark.readStream.schema("log_id long, seq long, event_id long, kind string").option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
-    q = rows.writeStream.foreachBatch(merger).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return merger.released(len([p for p in q.recentProgress if p.numInputRows >= 0 and p.batchId >= 0 and p.numInputRows > 0])).select("seq", "event_id", "log_id")
+    rows.writeStream.foreachBatch(merger).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return merger
+
+
+@query(f"WITH {LOG} SELECT seq, event_id, log_id FROM log WHERE seq <= (SELECT min(m) FROM (SELECT max(seq) AS m FROM log GROUP BY log_id))")
+def stream_merge(spark: SparkSession, d: str) -> DataFrame:
+    """merge_min_watermark as a stream."""
+    return _merged(spark, d, [0, 1, 2, 3]).released().select("seq", "event_id", "log_id")
+
+
+#: Where the merger is when half of the ordinals have come, by the logs given, and where it ends.
+HALF = """, last AS (SELECT max(ordinal) + 1 AS n FROM log), half AS (SELECT min(m) AS p FROM (SELECT max(seq) AS m FROM log, last WHERE ordinal * 4 < 2 * n AND log_id < {logs} GROUP BY log_id)),
+  fin AS (SELECT min(m) AS b FROM (SELECT max(seq) AS m FROM log GROUP BY log_id))"""
+
+
+@query(f"WITH {LOG}{HALF.format(logs=3)} SELECT seq, event_id, log_id FROM log, last, half, fin WHERE seq <= b AND (log_id < 3 OR (ordinal * 4 >= 2 * n AND seq > p))")
+def stream_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A merger that follows a fourth log from the middle on: from then it owes its events above the merger's position."""
+    return _merged(spark, d, [0, 1, 2], late_log=3).released().select("seq", "event_id", "log_id")
+
+
+@query(f"WITH {LOG}{HALF.format(logs=4)}, cur AS (SELECT min(seq) + (max(seq) - min(seq)) // 4 AS a FROM log) SELECT seq, event_id, log_id, CASE WHEN seq <= p THEN 'backfill' ELSE 'live' END AS part FROM log, half, fin, cur WHERE seq > a AND seq <= b")
+def stream_handoff(spark: SparkSession, d: str) -> DataFrame:
+    """A subscriber with a cursor who comes half-way: replayed from the segments, then live."""
+    log = A.log(spark, d).select("seq", "log_id", "ordinal", "event_id")
+    return hand_off(_merged(spark, d, [0, 1, 2, 3]), log, zone_map(log).withColumn("kind", F.lit("segment")), A.window_of(log)[0], 1)

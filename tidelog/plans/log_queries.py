@@ -155,14 +155,12 @@ def backfill_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{BACKFILL} GROUP BY seq")
 def shard_union(spark: SparkSession, d: str) -> DataFrame:
-    """The replays of three parts of the slots, united: the whole replay."""
+    """The replays of three parts of the slots, united: the whole replay. The log is read once: a row goes to the
+    parts that its slot is in."""
     log = A.with_slot(A.log(spark, d)).select("seq", "log_id", "ordinal", "event_id", "slot")
     a, b = A.window_of(log)
-    out = None
-    for k in range(3):
-        part = L.backfill(log, A.segments(spark, d), a, b, (-(-k * 65536 // 3), -(-(k + 1) * 65536 // 3))).select("seq", "log_id", "event_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [(-(-k * 65536 // 3), -(-(k + 1) * 65536 // 3)) for k in range(3)]
+    return L.backfill_parts(log, A.segments(spark, d), a, b, parts).select("seq", "log_id", "event_id")
 
 
 @query(f"WITH {LOG} SELECT seq, event_id FROM log WHERE seq <= (SELECT min(m) FROM (SELECT max(seq) AS m FROM log GROUP BY log_id))")
@@ -323,7 +321,7 @@ def ip_cap(spark: SparkSession, d: str) -> DataFrame:
     return D.within_ip_cap(_connections(spark, d), 5).select("conn_id", "admitted")
 
 
-@query("SELECT o_orderkey AS conn_id, CASE WHEN row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= 100 THEN o_orderpriority ELSE 'other' END AS label FROM orders")
+@query("SELECT o_orderkey AS conn_id, CASE WHEN o_orderstatus = 'F' THEN NULL WHEN row_number() OVER (PARTITION BY o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey) <= 100 THEN o_orderpriority ELSE 'other' END AS label FROM orders")
 def label_cap(spark: SparkSession, d: str) -> DataFrame:
     return D.cap_labels(_connections(spark, d), 100).select("conn_id", "label")
 

@@ -3,8 +3,9 @@ mounted folders, whose header table reads only the beginning of each file."""
 
 from __future__ import annotations
 
-import glob
 import os
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,18 +35,53 @@ def entry_rows(data: bytes, shard: int | None, with_muts: bool, derive: Callable
             yield (h.log_id, h.ordinal, i, e.seq, e.shard, e.epoch, e.frame, e.muts if with_muts else None, e.derived, e.gen)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.seg").load(path).select("path", "content")
+def file_system(path: str):
+    """(file system, path in it) of a path as Spark has it: local, hdfs, s3 and gs, whatever Arrow reaches from every
+    executor. On a cluster a local path must be a shared mount."""
+    from pyarrow import fs
+
+    at = re.sub(r"^file:/+", "/", str(path))
+    return (fs.LocalFileSystem(), os.path.abspath(at)) if "://" not in at else fs.FileSystem.from_uri(at)
+
+
+def head_bytes(path: str, n: int = 4096) -> bytes:
+    files, at = file_system(path)
+    with files.open_input_file(at) as f:
+        return f.read_at(min(n, f.size()), 0)
+
+
+def _files(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.seg").load(path).select(*columns)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The headers of all objects under a folder; of each file only the beginning is read."""
+
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for df in batches:
-            yield pd.DataFrame([header_row(p, bytes(c)) for p, c in zip(df["path"], df["content"], strict=True)], columns=[c.split()[0] for c in HEADERS.split(", ")]).astype({c.split()[0]: "Int64" for c in HEADERS.split(", ") if c.split()[1] in ("long", "int")})
+            yield pd.DataFrame([header_row(p, head_bytes(p)) for p in df["path"]], columns=[c.split()[0] for c in HEADERS.split(", ")]).astype({c.split()[0]: "Int64" for c in HEADERS.split(", ") if c.split()[1] in ("long", "int")})
+
+    return _files(spark, path, "path").mapInPandas(run, HEADERS)
 
-    return _files(spark, path).mapInPandas(run, HEADERS)
+
+def parse_objects(objects: DataFrame, shard: int | None = None) -> DataFrame:
+    """The entries, without their mutations, of objects given as `data`, by columns. The shard is filtered while parsing."""
+    names = ["log_id", "ordinal", "idx", "seq", "shard", "epoch", "frame"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for batch in batches:
+            for data in batch.column(0):
+                data = data.as_py()
+                if (found := S.parse_columns(data, shard)) is not None:
+                    h, n = S.parse_header(data), len(found[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([h.log_id] * n, [h.ordinal] * n, *found), kinds, strict=True)], names)
+
+    return objects.select("data").mapInArrow(run, "log_id string, ordinal long, idx int, seq long, shard long, epoch long, frame binary")
 
 
 def read_entries(spark: SparkSession, path: str, shard: int | None = None, with_muts: bool = False, derive: Callable | None = None) -> DataFrame:
@@ -60,7 +96,7 @@ def read_entries(spark: SparkSession, path: str, shard: int | None = None, with_
                 rows = [(*r[:7], [{"key": k, "val": v} for k, v in r[7]] if r[7] is not None else None, *r[8:]) for r in entry_rows(bytes(data), shard, with_muts, derive)]
                 yield pd.DataFrame(rows, columns=names)
 
-    return _files(spark, path).mapInPandas(run, ENTRIES)
+    return _files(spark, path, "path", "content").mapInPandas(run, ENTRIES)
 
 
 class _File(InputPartition):
@@ -82,30 +118,36 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [_File(p) for p in sorted(glob.glob(os.path.join(self.root, "**", "*.seg"), recursive=True))]
+        from pyarrow import fs
+
+        files, at = file_system(self.root)
+        scheme = self.root[: self.root.index("://") + 3] if "://" in self.root and not self.root.startswith("file:") else ""
+        found = files.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
+        return [_File(scheme + f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith(".seg")]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            if self.table == "headers":
-                yield header_row(partition.value, f.read(4096))
-            else:
+        if self.table == "headers":
+            yield header_row(partition.value, head_bytes(partition.value))
+        else:
+            files, at = file_system(partition.value)
+            with files.open_input_file(at) as f:
                 yield from entry_rows(f.read(), self.shard, self.muts)
 
 
 class _Writer(DataSourceWriter):
-    """Rows (log_id, ordinal, prefix_end, data) to {path}/log/{log_id}/{ordinal}.seg; a file appears whole or not at all."""
+    """Rows (log_id, ordinal, data) to {path}/log/{log_id}/{ordinal}.seg; a file appears whole or not at all."""
 
     def __init__(self, options: dict):
         self.root = options["path"]
 
     def write(self, iterator):
+        files, root = file_system(self.root)
         for row in iterator:
-            folder = os.path.join(self.root, "log", row.log_id)
-            os.makedirs(folder, exist_ok=True)
-            to = os.path.join(folder, f"{row.ordinal:012d}.seg")
-            with open(f"{to}.{os.getpid()}.tmp", "wb") as f:
+            files.create_dir(folder := f"{root}/log/{row.log_id}", recursive=True)
+            to = f"{folder}/{row.ordinal:012d}.seg"
+            with files.open_output_stream(at := f"{to}.{uuid.uuid4().hex}.tmp") as f:
                 f.write(bytes(row.data))
-            os.replace(f.name, to)
+            files.move(at, to)
         return WriterCommitMessage()
 
 
@@ -140,8 +182,8 @@ def seal(log: DataFrame, level: int = 1) -> DataFrame:
         import pandas as pd
 
         df = df.sort_values("idx")
-        entries = [S.Entry(int(r.seq), int(r.shard), int(r.epoch), bytes(r.frame)) for r in df.itertuples()]
-        data = S.compress(S.build(str(key[0]), int(key[1]), int(key[1]), entries), level)
+        columns = [df[c].tolist() for c in ("seq", "shard", "epoch", "frame")]
+        data = S.compress(S.build_events(str(key[0]), int(key[1]), int(key[1]), *columns), level)
         return pd.DataFrame({"log_id": [str(key[0])], "ordinal": [int(key[1])], "data": [data]})
 
     rows = log.select(F.col("log_id").cast("string"), "ordinal", "idx", "seq", "shard", "epoch", F.col("frame").cast("binary"))

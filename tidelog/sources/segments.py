@@ -61,8 +61,6 @@ def fence(by: str) -> bytes:
 
 def build(log_id: str, ordinal: int, prefix_end: int, entries: list[Entry]) -> bytes:
     """A sealed, uncompressed segment. An entry's first `derived` mutations aren't stored: a reader rebuilds them."""
-    if prefix_end > ordinal:
-        raise FormatError(f"prefix end {prefix_end} past ordinal {ordinal}")
     body = bytearray()
     for e in entries:
         body += struct.pack(ENTRY, e.seq, e.shard, e.epoch, len(e.frame)) + e.frame
@@ -70,11 +68,23 @@ def build(log_id: str, ordinal: int, prefix_end: int, entries: list[Entry]) -> b
         body += struct.pack(">I", DERIVED | e.derived << 16 | len(stored)) + leb128(e.gen) if e.derived else struct.pack(">I", len(stored))
         for key, value in stored:
             body += struct.pack(">H", len(key)) + key + struct.pack(">I", DELETED if value is None else len(value)) + (value or b"")
+    return seal_body(log_id, ordinal, prefix_end, [e.seq for e in entries], bytes(body))
+
+
+def build_events(log_id: str, ordinal: int, prefix_end: int, seqs: list, shards: list, epochs: list, frames: list) -> bytes:
+    """build() of entries without mutations, given by columns."""
+    pack = struct.Struct(ENTRY).pack
+    body = b"".join([pack(seq, shard, epoch, len(frame)) + frame + b"\0\0\0\0" for seq, shard, epoch, frame in zip(seqs, shards, epochs, frames, strict=True)])
+    return seal_body(log_id, ordinal, prefix_end, seqs, body)
+
+
+def seal_body(log_id: str, ordinal: int, prefix_end: int, seqs: list[int], body: bytes) -> bytes:
+    if prefix_end > ordinal:
+        raise FormatError(f"prefix end {prefix_end} past ordinal {ordinal}")
     name = log_id.encode()
-    seqs = [e.seq for e in entries]
-    head = struct.pack(HEAD, ordinal, prefix_end, min(seqs, default=0), max(seqs, default=0), len(entries), CODEC_NONE, len(body))
+    head = struct.pack(HEAD, ordinal, prefix_end, min(seqs, default=0), max(seqs, default=0), len(seqs), CODEC_NONE, len(body))
     magic = next(m for m, level in MAGICS.items() if level == 1)
-    return magic + struct.pack(">H", len(name)) + name + head + bytes(body)
+    return magic + struct.pack(">H", len(name)) + name + head + body
 
 
 def parse_header(data: bytes) -> Header | None:
@@ -171,5 +181,39 @@ def parse_entries(data: bytes, shard: int | None = None, with_muts: bool = True,
             yield e
 
 
+def parse_columns(data: bytes, shard: int | None = None) -> tuple[list, list, list, list, list] | None:
+    """(idx, seq, shard, epoch, frame) of an object's entries, by columns and without their mutations. None for a fence."""
+    h = parse_header(data)
+    if h is None:
+        return None
+    body, at = body_of(data, h), 0
+    entry, word, key_size = struct.Struct(ENTRY).unpack_from, struct.Struct(">I").unpack_from, struct.Struct(">H").unpack_from
+    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+    try:
+        for i in range(h.count):
+            seq, own, epoch, size = entry(body, at)
+            start = at + ENTRY_SIZE
+            at = end = start + size
+            (stored,) = word(body, at)
+            at += 4
+            if stored:
+                if stored & DERIVED:
+                    derived, stored = (stored & ~DERIVED) >> 16, stored & 0xFFFF
+                    if derived:
+                        at = read_leb128(body, at)[1]
+                for _ in range(stored):
+                    at += 2 + key_size(body, at)[0]
+                    (size,) = word(body, at)
+                    at += 4 + (0 if size == DELETED else size)
+            if shard is None or shard == own:
+                for column, value in zip(out, (i, seq, own, epoch, body[start:end]), strict=True):
+                    column.append(value)
+    except (struct.error, ValueError) as e:
+        raise FormatError("truncated segment") from e
+    if at > len(body):
+        raise FormatError("truncated segment")
+    return out
+
+
 def checksum(body: bytes) -> bytes:
     return hashlib.sha256(body).digest()[:8]
