@@ -38,6 +38,38 @@ def test_lists_of_near_copies(spark, monkeypatch, long):
     assert got == B.components(rows)
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_lists_dealt_in_parts_and_cells(spark, monkeypatch, size):
+    """Boilerplate that all sets share: their lists are dealt in parts, and compared in cells, without losing a link."""
+    for name in ("DEALT", "CELL", "LONG", "PARTNERS"):
+        monkeypatch.setattr(jaccard_join, name, size)
+    monkeypatch.setattr(jaccard_join, "COMMON", 3)
+    rng = random.Random(size)
+    shared, rows = [f"b{k}" for k in range(60)], []
+    for group in range(9):
+        own = [f"g{group}_{k}" for k in range(rng.randrange(8, 16))]
+        for i in range(7):
+            w = shared + own
+            w[rng.randrange(len(w))] = f"x{group}_{i}"
+            rows.append((100 * group + i, " ".join(w)))
+    rows += [(2000 + i, " ".join(shared[: 8 + i % 3] + [f"t{i}"])) for i in range(20)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == B.components(rows)
+
+
+def test_levels_and_parts():
+    import numpy as np
+
+    texts = np.array([1, 49, 50, 70, 71, 100, 2000, 10**6, 10**12])
+    levels = jaccard_join.level(texts)
+    assert list(levels[:6]) == [0, 0, 1, 1, 2, 3]
+    assert all(np.diff(levels.astype(int)) >= 0)
+    parts = jaccard_join.parts_of(levels)
+    assert list(parts[:7]) == [1] * 7
+    assert all(t / p <= 2 * jaccard_join.DEALT for t, p in zip(texts, parts, strict=True))
+    assert all(p & (p - 1) == 0 for p in parts.tolist())
+
+
 def test_repeated_rows_and_null_ids(spark):
     t = " ".join(f"w{k}" for k in range(30))
     rows = [(None, t), (5, t), (5, t), (3, t + " end"), (8, None), (9, "")]
@@ -106,6 +138,57 @@ def test_token_counts(spark, docs, corpus, empty):
     assert ledger.commit("d", inserts=token_counts.count_tokens(empty))
 
 
+def test_ledger_after_crashes_and_repeats(spark):
+    """Half-written folders don't count, nothing is folded twice, and a repeated compaction is no compaction."""
+    schema = "doc_id long, source string, lang string, tokenizer string, n_chars long, n_tokens long"
+    rows = lambda *t: spark.createDataFrame([(k, "s", "en", "v", 10, x) for k, x in enumerate(t)], schema)
+    ledger = token_counts.TokenLedger(spark)
+    total = lambda: [tuple(r)[3:] for r in ledger.totals().collect()]
+    assert not ledger.compact("none")
+    assert total() == []
+    ledger.commit("a", inserts=rows(1, 2))
+    ledger.commit("b", inserts=rows(3))
+    # A crash between a folder's rows and its commit file, and one within the file.
+    for name, said in (("base=half", None), ("batch=c", None), ("base=cut", b'["batch=a", "bat')):
+        ledger._rows(["batch=a", "batch=b"]).write.parquet(f"{ledger.root}/{name}")
+        if said:
+            path, fs = ledger._path(name, token_counts.COMMIT)
+            out = fs.create(path, True)
+            out.write(bytearray(said))
+            out.close()
+        assert total() == [(3, 30, 6)]
+    assert ledger.commit("c", inserts=rows(4))
+    assert ledger.compact("half")
+    assert total() == [(4, 40, 10)]
+    assert not ledger.compact("half")
+    assert total() == [(4, 40, 10)]
+    assert not any(ledger.commit(x, inserts=rows(9)) for x in "abc")
+    ledger.commit("d", deletes=rows(4))
+    assert ledger.compact("next")
+    assert ledger._state()[0] == ["base=next"]
+    assert not ledger.commit("a", inserts=rows(9))
+    # Folders that a base stands for may go; their ids stay known.
+    for x in ("batch=a", "base=half"):
+        path, fs = ledger._path(x)
+        fs.delete(path, True)
+    assert ledger.committed("a")
+    assert total() == [(3, 30, 6)]
+
+
+def test_token_query_books_revisions_and_deletes(spark):
+    """What is left are the tokenizer's counts of all documents with text; estimates are gone."""
+    data = "/root/testdata/sf0.001"
+    enc = secrets.encoding(secrets.VOCABULARY)
+    want = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        if r["text"]:
+            n, c, t = want.get((r["source"], r["lang"]), (0, 0, 0))
+            want[r["source"], r["lang"]] = (n + 1, c + len(r["text"]), t + len(enc.encode_ordinary(r["text"])))
+    got = token_counts.op2_token_counts(spark, data).collect()
+    assert {(r["source"], r["lang"]): (r["n_docs"], r["n_chars"], r["n_tokens"]) for r in got} == want
+    assert {r["tokenizer"] for r in got} == {token_counts.version(secrets.VOCABULARY)}
+
+
 def test_revisions_that_move_the_key(spark):
     """The old key loses the document and its counts, the new one gets them; null is a key."""
     schema = "doc_id long, source string, lang string, tokenizer string, n_chars long, n_tokens long"
