@@ -141,3 +141,48 @@ def test_heap(spark):
 def test_leaf_trimming(spark):
     t = spark.createDataFrame([([1, 2, 3, 4], [False, True, False, False], [True, False, False, False]), ([1, 2], [False, False], [True, False]), ([1, 2], [False, False], [True, True])], "f array<long>, e array<boolean>, i array<boolean>")
     assert [r[0] for r in t.select(H.trim_leaf(F.col("f"), F.col("e"), F.col("i"))).collect()] == [[3, 4], [2], [1, 2]]
+
+
+def test_profiles_in_pprof(spark):
+    from tidelog.functions import pprof as P
+
+    stacks = [([10, 20, 30], 3, 900), ([10, 99], 2**40, 5)]
+    names = {10: "alloc", 20: "parse", 30: "main"}
+    data = P.encode(stacks, names, [(0, 25, 0, "/bin/a"), (25, 50, 8, "/lib/b")], 524288)
+    assert data == P.encode(stacks, names, [(25, 50, 8, "/lib/b"), (0, 25, 0, "/bin/a")], 524288)
+    assert P.decode(data) == [([10, 20, 30], ["alloc", "parse", "main"], [3, 900]), ([10, 99], ["alloc"], [2**40, 5])]
+    found = dict(P.fields_of(__import__("gzip").decompress(data)))
+    assert found[P.PROFILE["period"]] == 524288
+    rows = spark.createDataFrame([("d", a, n, b) for a, n, b in stacks], "dump string, addrs array<long>, objs long, bytes long")
+    files = H.pprof(rows, spark.createDataFrame(list(names.items()), "addr long, function string"), 524288).collect()
+    assert [(r["dump"], sorted(P.decode(bytes(r["profile"])))) for r in files] == [("d", sorted(P.decode(data)))]
+    assert P.decode(P.encode([], {}, [], 1)) == []
+
+
+def test_window_of_a_listing(spark):
+    ops = spark.createDataFrame([(i, f"p/{i}", "blob", 10 * i, 10 * i + 5, 1, i, 0) for i in range(10)], "i long, path string, component string, start long, end long, objects long, bytes long, uncertain long")
+    captured = C.capture_window(ops, 25, 75, 3)
+    assert [r["part"] for r in captured.orderBy("i").collect()] == ["before"] * 2 + ["window"] * 3 + ["overflow"] * 2 + ["after"] * 3
+    pages = spark.createDataFrame([(1000, 1001, None)], "s long, r long, last string")
+    assert tuple(C.end_window(captured, pages, 0, done=True).first()) == ("blob", 7, 0 + 1 + 5 + 6 + 7 + 8 + 9, 2)
+    assert tuple(C.end_window(captured, pages, 0, done=False).first()) == ("blob", 10, 45, 5)
+    assert tuple(C.local_view(captured).first()) == ("blob", 5, 0 + 1 + 7 + 8 + 9, 0, 3)
+    assert {r["part"] for r in C.capture_window(ops, 25, None, 100).filter("i > 1").collect()} == {"window"}
+
+
+def test_layouts_are_told_apart(spark):
+    rows = [("a", 1, 0, 100), ("a", 2, 100, 65536), ("b", 1, 0, 100), ("b", 1, 101, 65536), ("c", 9, 5, 5)]
+    got = {tuple(r) for r in O.layout_faults(spark.createDataFrame(rows, "name string, shard long, lo int, hi int"), 5, by=["name"]).collect()}
+    assert got == {("b", "gap", 1), ("b", "twice", 1), ("c", "start", 9), ("c", "end", 9), ("c", "empty", 9), ("c", "id", 9)}
+
+
+def test_exposition(spark):
+    series = spark.createDataFrame([("up", {}, 1.0), ("up", {"a": 'x"y\\z\nw'}, 2.0), ("other", {"b": ""}, 3.0)], "name string, labels map<string,string>, value double")
+    page = C.exposition(series, spark.createDataFrame([("up", "gauge"), ("other", "counter")], "name string, kind string"))
+    assert [r["line"] for r in page.orderBy("name", "place", "line").collect()] == ["# TYPE other counter", 'other{b=""} 3.0', "# TYPE up gauge", "up 1.0", 'up{a="x\\"y\\\\z\\nw"} 2.0']
+
+
+def test_changes_less_others_in_one_pass(spark):
+    rows = [("a", 1, 10, 0, False), ("a", 1, 4, 2, True), ("b", 1, 1, 0, False), ("b", 1, 1, 0, True), ("c", 0, 0, 1, False)]
+    t = spark.createDataFrame(rows, "component string, objects long, bytes long, uncertain long, m boolean")
+    assert sorted(map(tuple, C.net_counts(t, F.col("m")).collect())) == sorted(map(tuple, C.subtract_counts(t.filter("not m"), t.filter("m")).collect())) == [("a", 0, 6, 0), ("c", 0, 0, 1)]

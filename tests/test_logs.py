@@ -1,9 +1,12 @@
 """Prefixes, seeks and merges on three logs with a hole, a fence and a duplicate."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tidelog.operators import delivery as D
 from tidelog.operators import logs as L
+from tidelog.operators import ranges as R
 from tidelog.operators.asof import asof_join
 
 
@@ -109,3 +112,95 @@ def test_asof_carries_over_ranges(spark):
         got = asof_join(left, right, "t", "t", direction=direction, values=["v"], parts=7).collect()
         assert len(got) == 334
         assert all((r["match"] and r["match"]["v"]) == want(r["t"]) for r in got)
+
+
+def test_accept_by_segment_is_accept(spark):
+    rng = random.Random(9)
+    rows = [(f"l{i % 3}", i // 36, i // 3 % 12, i + rng.randrange(-20, 20)) for i in range(360)]
+    log = spark.createDataFrame(rows, "log_id string, ordinal long, idx long, seq long")
+    both = [sorted(map(tuple, D.accept(log, 150, 60, by_segment=x).collect())) for x in (False, True)]
+    assert both[0] == both[1]
+    assert {r[4] for r in both[0]} == {"accepted", "duplicate", "late", "floor"}
+
+
+def test_runs_over_ranges(spark):
+    """Runs that cross ranges, fill them, or end at their edges, by group."""
+    rng = random.Random(2)
+    for share in (0.2, 0.5, 0.95, 1.0):
+        rows = [(g, 7 * i + g, rng.random() < share) for g in range(3) for i in range(60)]
+        t = spark.createDataFrame(rows, "g long, seq long, k boolean")
+        once = sorted(map(tuple, D.runs(t, F.col("k"), by=["g"], parts=1).select("g", "first", "last", "n").collect()))
+        assert once == sorted(map(tuple, D.runs(t, F.col("k"), by=["g"], parts=9).select("g", "first", "last", "n").collect()))
+        assert sum(r[3] for r in once) == sum(r[2] for r in rows)
+
+
+def test_ranges_and_totals(spark):
+    """Many bounds are found by halving; totals are the same for any number of ranges."""
+    rows = [(k * 37 % 1009, k) for k in range(1000)]
+    t = spark.createDataFrame(rows, "key long, v long").repartition(3)
+    for parts in (1, 5, 90):
+        got = {r["key"]: r["before"] for r in R.running_totals(t, "key", {"before": F.col("v")}, parts).collect()}
+        low = 0
+        for key, v in sorted(rows):
+            assert got[key] == low
+            low += v
+    p = R.range_of(t, "key", 200)
+    numbered = [(r["key"], r["p"]) for r in t.select("key", p.alias("p")).orderBy("key").collect()]
+    assert [x for _, x in numbered] == sorted(x for _, x in numbered)
+    assert len({x for _, x in numbered}) > 150
+
+
+def test_parts_follow_the_input(spark, tmp_path, monkeypatch):
+    spark.range(20_000).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    assert R.parts_for(t) == 1
+    monkeypatch.setattr(R, "PART_BYTES", 10_000)
+    assert R.parts_for(t) > 5
+    assert R.parts_for(spark.createDataFrame([(1,)], "a long").rdd.toDF()) >= 1
+
+
+def test_small_sides_are_looked_up(spark):
+    left = spark.createDataFrame([(i, None if i == 7 else i) for i in range(30)], "id long, t long")
+    right = spark.createDataFrame([(5, 1, "a"), (10, 2, None), (10, 3, "b"), (20, 4, "c"), (None, 9, "d")], "t long, v long, w string")
+    for direction in ("backward", "forward"):
+        few, swept = ({r["id"]: r["match"] and tuple(r["match"]) for r in asof_join(left, right, "t", "t", direction=direction, values=["v", "w"], few=x).collect()} for x in (True, False))
+        assert few == swept
+    assert {r["match"] for r in asof_join(left, right.limit(0), "t", "t", values=["v"], few=True).collect()} == {None}
+    many = spark.range(200).select(F.col("id").alias("t"), F.col("id").alias("v"))
+    assert all(r["match"]["v"] == r["t"] for r in asof_join(left.filter("t is not null"), many, "t", "t", values=["v"], few=True).collect())
+
+
+def test_idle_logs_announce_the_clock(spark):
+    """Up to the lease and never back; what was announced isn't assigned again."""
+    s = lambda us, w=3: us << 8 | w
+    rows = [("busy", 3, s(90), s(50), None), ("idle", 3, s(50), s(50), None), ("leased", 3, s(50), s(50), 70), ("expired", 3, s(50), s(50), 20), ("ahead", 3, s(500), s(500), None)]
+    logs = spark.createDataFrame(rows, "id string, writer long, assigned long, durable long, lease_us long")
+    got = {r["id"]: (r["watermark"], r["assigned"]) for r in D.announce(logs, 100).collect()}
+    assert got["busy"] == (s(50), s(90))
+    assert got["idle"] == ((100 << 8) - 1, s(99))
+    assert got["leased"] == (70 << 8, s(69))
+    assert got["expired"] == (s(50), s(50))
+    assert got["ahead"] == (s(500), s(500))
+
+
+def test_labels_are_freed(spark):
+    rows = [(k, f"ua{k}", k, 50 if k < 2 else None) for k in range(6)]
+    conns = spark.createDataFrame(rows, "conn_id long, ua string, connected_at long, disconnected_at long")
+    assert {r["conn_id"]: r["label"] for r in D.cap_labels(conns, 2).collect()} == {0: None, 1: None, 2: "ua2", 3: "ua3", 4: "other", 5: "other"}
+
+
+def test_pages_end_with_their_bytes(spark):
+    rows = spark.createDataFrame([(10 * k, b) for k, b in enumerate([5, 0, 3, 9, 1])], "seq long, bytes long")
+    page = lambda n, parts=1: seqs(L.page_of(rows, n, parts=parts))
+    assert [page(1), page(5), page(6), page(8), page(100)] == [[0], [0], [0, 10, 20], [0, 10, 20], [0, 10, 20, 30, 40]]
+    assert page(9, parts=3) == [0, 10, 20, 30]
+
+
+def test_replays_of_parts_in_one_pass(spark):
+    segments, log = three_logs(spark)
+    log = log.withColumn("slot", F.col("seq") % 100)
+    parts = [(0, 40), (30, 70), (90, 100)]
+    got = L.backfill_parts(log, segments, 95, 250, parts)
+    for k, part in enumerate(parts):
+        want = L.backfill(log, segments, 95, 250, part)
+        assert sorted(map(str, got.filter(F.col("part") == k).select("seq", "log_id", "ordinal").collect())) == sorted(map(str, want.select("seq", "log_id", "ordinal").collect()))

@@ -5,32 +5,50 @@ from tidelog.sources import segments as S
 
 
 def sample():
-    return [S.Entry(10, 3, 7, b"frame-a", [(b"k1", b"v1")]), S.Entry(11, 1048576, 1, b"frame-b", [(b"k2", None)]), S.Entry(12, 3, 7, b"", [(b"k3", b"v3")])]
+    return [S.Entry(901, 17, 4, b"first frame", [(b"a/1", b"one"), (b"a/2", None)]), S.Entry(905, 65_000, 2, b"second", []), S.Entry(977, 17, 5, b"", [(b"z", b"")])]
 
 
 def test_round_trip():
-    data = S.build("node-a.1", 42, 39, sample())
+    data = S.build("writer.x", 7, 7, sample())
     h = S.parse_header(data)
-    assert (h.log_id, h.ordinal, h.prefix_end, h.first_seq, h.last_seq, h.count) == ("node-a.1", 42, 39, 10, 12, 3)
+    assert (h.log_id, h.ordinal, h.prefix_end, h.first_seq, h.last_seq, h.count) == ("writer.x", 7, 7, 901, 977, 3)
     assert list(S.parse_entries(data)) == sample()
-    assert [e.seq for e in S.parse_entries(data, shard=3)] == [10, 12]
-    assert all(not e.muts for e in S.parse_entries(data, with_muts=False))
+    assert [e.epoch for e in S.parse_entries(data, shard=17)] == [4, 5]
+    assert not any(e.muts for e in S.parse_entries(data, with_muts=False))
+    with pytest.raises(S.FormatError):
+        S.build("writer.x", 7, 8, sample())
 
 
 def test_compression():
-    entries = [S.Entry(1000 + i, 70000 + i % 3, 2, f"frame {i} ".encode() + b"x" * 64, [(b"k", b"v" * 40)]) for i in range(200)]
-    data = S.build("node-a.7", 5, 3, entries)
+    entries = [S.Entry(5000 + 3 * i, i % 5, 9, f"{i} says ".encode() * 12, [(f"key {i % 4}".encode(), None if i % 2 else b"value" * 9)]) for i in range(90)]
+    data = S.build("writer.y", 3, 1, entries)
     packed = S.compress(data)
-    assert len(packed) * 3 < len(data)
+    assert len(packed) < len(data) / 2
     assert list(S.parse_entries(packed)) == entries
-    assert sum(1 for _ in S.parse_entries(packed, shard=70001)) == 67
+    assert sum(1 for _ in S.parse_entries(packed, shard=4)) == 18
     assert S.compress(data, 0) == data
-    assert S.compress(S.fence("b")) == S.fence("b")
+    assert S.compress(S.fence("other")) == S.fence("other")
     h = S.parse_header(packed)
-    lying = packed[: h.size - 4] + b"\xff\xff\xff\xff" + packed[h.size :]
-    for bad in (packed[:-5], lying, b"VLSEG99\n" + data[8:], data[:9], data[:-1]):
+    longer = packed[: h.size - 4] + (h.body_len + 1).to_bytes(4, "big") + packed[h.size :]
+    other_codec = packed[: h.size - 5] + b"\x07" + packed[h.size - 4 :]
+    for bad in (packed[: h.size + 2], longer, other_codec, b"NOTALOG\n" + data[8:], data[:30], data[:-3]):
         with pytest.raises(S.FormatError):
             list(S.parse_entries(bad))
+        with pytest.raises(S.FormatError):
+            S.parse_columns(bad)
+
+
+def test_columns_are_the_entries():
+    """With mutations stored, derived and none; by shard; and built from columns."""
+    entries = [*sample(), S.Entry(990, 17, 6, b"derived", [(b"d", b"x"), (b"k", b"v")], derived=1, gen=70_000)]
+    data = S.compress(S.build("w", 2, 2, entries))
+    for shard in (None, 17, 5):
+        got = S.parse_columns(data, shard)
+        want = [(i, e.seq, e.shard, e.epoch, e.frame) for i, e in enumerate(S.parse_entries(data, None, with_muts=False)) if shard in (None, e.shard)]
+        assert list(zip(*got, strict=True)) == want
+    plain = [S.Entry(k, k % 2, 1, bytes([k]) * k) for k in range(20)]
+    assert S.build_events("w", 2, 1, *[[getattr(e, c) for e in plain] for c in ("seq", "shard", "epoch", "frame")]) == S.build("w", 2, 1, plain)
+    assert S.parse_columns(S.fence("x")) is None
 
 
 def test_derived_mutations():
@@ -52,6 +70,7 @@ def test_data_source(spark, tmp_path):
     entries = spark.read.format("seglog").load(str(tmp_path))
     assert entries.count() == 15
     assert entries.filter("shard = 1").count() == 6
+    assert {(r["seq"] % 10, r["idx"]) for r in entries.filter("shard = 1").collect()} == {(1, 1), (3, 3)}
     assert seglog.read_entries(spark, str(tmp_path), shard=1).count() == 6
     assert seglog.read_headers(spark, str(tmp_path)).filter("kind = 'segment'").count() == 3
 

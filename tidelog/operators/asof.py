@@ -48,7 +48,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     row = F.struct(*left.columns)
     none = lambda df, c: F.lit(None).cast(df.select(c).schema[0].dataType)
     one = left.select(*by, F.col(left_on).alias("_at"), F.lit(1 if back else 0).alias("_side"), row.alias("_row"), none(right, F.struct(*values)).alias("_value"))
-    two = right.select(*by, F.col(right_on).alias("_at"), F.lit(0 if back else 1).alias("_side"), none(left, row).alias("_row"), F.struct(*values).alias("_value"))
+    two = right.filter(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("_at"), F.lit(0 if back else 1).alias("_side"), none(left, row).alias("_row"), F.struct(*values).alias("_value"))
     both = one.unionByName(two)
     # Of equals the one swept last must be the greatest, either way.
     order = [F.col("_at"), F.col("_side"), F.col("_value")] if back else [F.col("_at").desc(), F.col("_side").desc(), F.col("_value")]

@@ -166,7 +166,7 @@ def announce(logs: DataFrame, now_us: int) -> DataFrame:
     assigned from then on. A log with events under way announces what is durable; an idle one the clock, but
     never beyond its lease and never less than what is durable; what it announced it won't assign again."""
     idle = F.col("assigned") <= F.col("durable")
-    cap = F.coalesce(F.greatest(seq_floor(F.col("lease_us")), F.col("durable")), F.lit((1 << 63) - 1))
+    cap = F.when(F.col("lease_us").isNull(), F.lit((1 << 63) - 1)).otherwise(F.greatest(seq_floor(F.col("lease_us")), F.col("durable")))
     mark = F.when(idle, F.least(F.greatest(F.col("durable"), seq_floor(F.lit(now_us)) - 1), cap)).otherwise(F.col("durable"))
     own = own_seq_at_or_below(mark, F.col("writer"))
     return logs.withColumn("watermark", mark).withColumn("assigned", F.when(F.col("watermark") > F.col("durable"), F.greatest("assigned", own)).otherwise(F.col("assigned")))

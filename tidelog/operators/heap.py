@@ -71,3 +71,28 @@ def dictionary(values: DataFrame, column: str) -> DataFrame:
     from .delivery import renumber
 
     return renumber(values.select(column).distinct(), key=column, anchor=-1).select(column, F.col("number").alias("id"))
+
+
+def pprof(stacks: DataFrame, symbols: DataFrame, rate: int) -> DataFrame:
+    """stacks (dump, addrs, objs, bytes) and symbols (addr, function) to dump, profile: a dump as one pprof file. A
+    dump is one process's, so a task holds what that process could list."""
+    from collections.abc import Iterator
+
+    used = stacks.select("dump", F.explode("addrs").alias("addr")).distinct().join(symbols.select("addr", "function"), "addr")
+    names = used.groupBy("dump").agg(F.map_from_entries(F.collect_list(F.struct("addr", "function"))).alias("names"))
+    kept = stacks.groupBy("dump").agg(F.array_sort(F.collect_list(F.struct("addrs", "objs", "bytes"))).alias("stacks")).join(names, "dump", "left")
+    kept = kept.withColumn("names", F.map_entries("names"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from ..functions.pprof import encode
+
+        for batch in batches:
+            files = []
+            for found, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                files.append(encode([(s["addrs"], s["objs"], s["bytes"]) for s in found], {n["key"]: n["value"] for n in known or []}, [], rate))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["dump", "profile"])
+
+    kind = kept.schema["dump"].dataType.simpleString()
+    return kept.select("dump", "stacks", "names").mapInArrow(run, f"dump {kind}, profile binary")

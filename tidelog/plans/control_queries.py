@@ -184,7 +184,7 @@ def component_classify(spark: SparkSession, d: str) -> DataFrame:
 
 MEANS = "means AS (SELECT component, (sum(size) // count(*))::BIGINT AS mean FROM requests WHERE op = 'list' GROUP BY component)"
 EFFECTS = f"""{REQUESTS}, {MEANS}, prev AS (
-  SELECT r.*, coalesce(mean, 0) AS mean, lag(op) OVER w AS last_op, lag(size) OVER w AS last_size FROM requests r LEFT JOIN means USING (component) WINDOW w AS (PARTITION BY path ORDER BY i)
+  SELECT r.*, coalesce(mean, 0) AS mean, lag(op) OVER w AS last_op, lag(size) OVER w AS last_size FROM requests r LEFT JOIN means USING (component) WINDOW w AS (PARTITION BY path ORDER BY i, op, kind, size)
 ), known AS (SELECT *, CASE WHEN last_op <> 'delete' THEN last_size END AS old FROM prev), effects AS (
   SELECT i, component, CASE WHEN op = 'list' THEN 0 WHEN op = 'delete' THEN -1 WHEN kind = 'create' THEN 1 WHEN old IS NOT NULL THEN 0 WHEN kind = 'replace' OR component LIKE 'ctl_%' OR component IN ('retention_report', 'other') THEN 0 ELSE 1 END::BIGINT AS objects,
     CASE WHEN op = 'list' THEN 0 WHEN op = 'delete' THEN -coalesce(old, mean) WHEN kind = 'create' THEN size WHEN old IS NOT NULL THEN size - old WHEN kind = 'replace' OR component LIKE 'ctl_%' OR component IN ('retention_report', 'other') THEN 0 ELSE size END::BIGINT AS bytes,
@@ -219,8 +219,7 @@ def copy_effects(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EFFECTS} SELECT component, sum(objects)::BIGINT AS objects, sum(bytes)::BIGINT AS bytes, sum(uncertain)::BIGINT AS uncertain FROM effects GROUP BY component {NONZERO}")
 def storage_fold(spark: SparkSession, d: str) -> DataFrame:
-    e = _effects(spark, d)
-    return C.fold_counts(e.filter("i % 2 = 0"), e.filter("i % 2 = 1"))
+    return C.fold_counts(_effects(spark, d))
 
 
 @query(
@@ -228,8 +227,7 @@ def storage_fold(spark: SparkSession, d: str) -> DataFrame:
     SELECT component, objects::BIGINT AS objects, bytes::BIGINT AS bytes, uncertain::BIGINT AS uncertain FROM t WHERE objects <> 0 OR bytes <> 0 OR uncertain <> 0"""
 )
 def storage_subtract(spark: SparkSession, d: str) -> DataFrame:
-    e = _effects(spark, d)
-    return C.subtract_counts(e.filter("i % 3 <> 0"), e.filter("i % 3 = 0"))
+    return C.net_counts(_effects(spark, d), F.col("i") % 3 == 0)
 
 
 @query(f"WITH {REQUESTS} SELECT component, (sum(size) // count(*))::BIGINT AS mean FROM requests GROUP BY component")

@@ -1,5 +1,5 @@
-"""Segment files as DataFrames: two readers over any Hadoop file system, and the 'seglog' data source for
-mounted folders, whose header table reads only the beginning of each file."""
+"""Segment files as DataFrames: two readers that list files by Spark, and the 'seglog' data source, which reads and
+writes through Arrow's file systems. Headers are read from the beginning of each file alone."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ def header_row(path: str, data: bytes) -> tuple:
 def entry_rows(data: bytes, shard: int | None, with_muts: bool, derive: Callable | None = None) -> Iterator[tuple]:
     h = S.parse_header(data)
     if h is not None:
-        for i, e in enumerate(S.parse_entries(data, shard, with_muts, derive)):
+        for i, e in S.indexed_entries(data, shard, with_muts, derive):
             yield (h.log_id, h.ordinal, i, e.seq, e.shard, e.epoch, e.frame, e.muts if with_muts else None, e.derived, e.gen)
 
 

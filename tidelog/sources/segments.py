@@ -144,6 +144,11 @@ def body_of(data: bytes, h: Header) -> bytes:
 def parse_entries(data: bytes, shard: int | None = None, with_muts: bool = True, derive: Callable[[bytes, int, int], list[Mutation]] | None = None) -> Iterator[Entry]:
     """An object's entries, of one shard if asked. Derived mutations come first; without `derive` asking for
     them is an error."""
+    return (e for _, e in indexed_entries(data, shard, with_muts, derive))
+
+
+def indexed_entries(data: bytes, shard: int | None = None, with_muts: bool = True, derive: Callable[[bytes, int, int], list[Mutation]] | None = None) -> Iterator[tuple[int, Entry]]:
+    """parse_entries() with each entry's number in the object."""
     h = parse_header(data)
     if h is None:
         return
@@ -156,7 +161,7 @@ def parse_entries(data: bytes, shard: int | None = None, with_muts: bool = True,
         at += n
         return body[at - n : at]
 
-    for _ in range(h.count):
+    for i in range(h.count):
         seq, own, epoch, size = struct.unpack(ENTRY, take(ENTRY_SIZE))
         frame = take(size)
         (stored,) = struct.unpack(">I", take(4))
@@ -178,7 +183,7 @@ def parse_entries(data: bytes, shard: int | None = None, with_muts: bool = True,
             if with_muts and wanted:
                 e.muts.append((key, value))
         if wanted:
-            yield e
+            yield i, e
 
 
 def parse_columns(data: bytes, shard: int | None = None) -> tuple[list, list, list, list, list] | None:
