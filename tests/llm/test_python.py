@@ -316,3 +316,32 @@ def test_pipeline(spark, corpus, tmp_path):
     was, now = kept["mixing sources"]
     assert {r["doc_id"] for r in now} == {r["doc_id"] for r in was}
     assert sorted(map(str, cp.run(spark, str(tmp_path)).collect())) == sorted(map(str, now))
+    # The classifier's decisions are those of its scores, which test_brute.py holds against plain ones.
+    was, now = kept["quality classifier"]
+    scores = quality_knn.classify(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    assert {r["doc_id"] for r in now} == {r["doc"]["doc_id"] for r in scores if r["score"] >= quality_knn.THRESHOLD}
+
+
+def test_pipeline_on_nothing_and_on_odd_rows(spark, tmp_path, empty):
+    """Empty tables; clashing columns, null ids and texts, repeated rows."""
+    import corpus_pipeline as cp
+
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(0, "one two three four five six seven")], "item_id long, text string")
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, long, "en", "a", 9), (1, long, "en", "a", 9), (2, long + " end", "en", "a", 9), (3, None, None, None, None), (None, "own text of a row without an id, said once", "en", "b", 9), (4, "", "en", "b", 0), (5, "x one two three four five six seven y", "en", "b", 9)]
+    odd = spark.createDataFrame(rows, empty.schema)
+    for name, docs in (("none", empty), ("odd", odd)):
+        at = f"{tmp_path}/{name}"
+        docs.selectExpr("*", "'own' as score", "'own' as node", "'own' as lines", "'own' as row").write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        items.write.parquet(f"{at}/benchmark.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+    assert sorted(str(r["doc_id"]) for r in cp.run(spark, f"{tmp_path}/odd").collect()) == ["1", "3", "4", "None"]
+
+
+def test_clashing_columns_and_pages(spark, clashing, docs):
+    counted = lambda d: sorted(map(str, token_counts.count_tokens(d).collect()))
+    assert counted(clashing) == counted(docs)
+    pages = spark.createDataFrame([(k, "http://a.example", f"<article><p>Text {k}</p></article>", "own", "own") for k in range(4)], "page_id long, url string, html string, host string, places string")
+    assert sorted(r["text"] for r in html_text.extract_text(pages).collect()) == [f"Text {k}" for k in range(4)]

@@ -7,10 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.ranges import range_of
+from ..operators import ranges
 
 #: Words are what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,16 +71,5 @@ def hash_pair(c: Column) -> tuple[Column, Column]:
 
 
 def running_totals(df: DataFrame, key: str, sums: dict[str, Column], rows_a_part: int = 50_000) -> DataFrame:
-    """df, materialized and of distinct keys, with `sums`: the totals over all rows of smaller keys (longs, so
-    that any order of adding is the same). More than `rows_a_part` rows are dealt by ranges of the key, summed
-    in each and offset by the ranges before, so that no task sees all of them."""
-    parts = min(1024, df.count() // rows_a_part + 1)
-    t = df.withColumns({f"_v_{c}": v.cast("long") for c, v in sums.items()}).withColumn("_p", range_of(df, key, parts) if parts > 1 else F.lit(0))
-    inside = W.partitionBy("_p").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumns({c: F.sum(f"_v_{c}").over(inside) - F.col(f"_v_{c}") for c in sums})
-    if parts > 1:
-        earlier = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row a range
-        totals = t.groupBy("_p").agg(*[F.sum(f"_v_{c}").alias(f"_t_{c}") for c in sums])
-        offsets = totals.select("_p", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums])
-        t = t.join(F.broadcast(offsets), "_p").withColumns({c: F.col(c) + F.col(f"_o_{c}") for c in sums})
-    return t.select(*df.columns, *sums)
+    """ranges.running_totals() of a materialized table, with so many rows a range."""
+    return ranges.running_totals(df, key, sums, min(1024, df.count() // rows_a_part + 1))

@@ -1,7 +1,13 @@
 """The stages of corpus_pipeline.py: (name, function of (spark, docs, sf_dir)).
 
-Each takes what its predecessor kept and, but for the last, returns the columns it got. Rows without a
-doc_id can't be named by the near-duplicate and decontamination stages and stay."""
+Each takes what its predecessor kept and, but for the last, returns the columns it got, whatever their names.
+
+Defined cases: rows without a doc_id can't be named by the near-duplicate and decontamination stages and stay;
+null and empty texts are scored as the classifier does, and stay where it keeps them; a text that line dedup
+leaves empty goes, one that was empty stays; very long texts are worked on whole; of documents that link, the
+smallest doc_id stays (ties can't be, but for rows of equal doc_id, of which one stays if their texts are
+equal); an empty table passes every stage as one.
+"""
 
 from __future__ import annotations
 
