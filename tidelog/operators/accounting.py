@@ -181,12 +181,14 @@ def cache_pivot(accesses: DataFrame) -> DataFrame:
 
 
 def lsm_totals(shapes: DataFrame) -> DataFrame:
-    """shapes (db, l0 array of sizes, runs array of arrays of sizes) to counts, bytes and the largest run."""
+    """shapes (db, l0 array of sizes, runs array of arrays of sizes, and maybe checkpoints, an array) to counts, bytes
+    and the largest run."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     by_run = F.transform("runs", lambda r: total(r))
     return shapes.select(
         "db", F.size("l0").cast("long").alias("l0_count"), total(F.col("l0")).alias("l0_bytes"), F.size("runs").cast("long").alias("runs"),
         total(F.transform("runs", lambda r: F.size(r).cast("long"))).alias("compacted_ssts"), total(by_run).alias("compacted_bytes"), F.coalesce(F.array_max(by_run), F.lit(0).cast("long")).alias("largest_run"),
+        *([F.size("checkpoints").cast("long").alias("checkpoints")] if "checkpoints" in shapes.columns else []),
     )
 
 

@@ -58,6 +58,20 @@ def latest_beats(beats: DataFrame) -> DataFrame:
     return beats.groupBy("viewer", "peer").agg(best.alias("_b")).select("viewer", "peer", "_b.*")
 
 
+def beat_state(beats: DataFrame) -> DataFrame:
+    """What each viewer knows of each peer. beats: viewer, peer, at_us, kind, incarnation, position, of the kinds beat
+    (an answer), refused (its port is closed) and report (what it says of others). Returns viewer, peer, heard_us and
+    incarnation of the last answer, position, the furthest told by that incarnation, gone (refused since the last
+    answer) and reported_us."""
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("at_us")))
+    last = F.max(F.when(F.col("kind") == "beat", F.struct("at_us", "incarnation")))["incarnation"]
+    per = beats.groupBy("viewer", "peer").agg(at("beat").alias("heard_us"), last.alias("incarnation"), at("refused").alias("_refused"), at("report").alias("reported_us"))
+    told = beats.filter("kind = 'beat'").groupBy("viewer", "peer", "incarnation").agg(F.max("position").alias("position"))
+    out = per.join(told, ["viewer", "peer", "incarnation"], "left")
+    gone = F.coalesce(F.col("_refused") > F.coalesce("heard_us", F.lit(-1)), F.lit(False))
+    return out.select("viewer", "peer", "heard_us", "incarnation", "position", gone.alias("gone"), "reported_us")
+
+
 def has_quorum(members: DataFrame, heard: DataFrame, now_us: int, within_us: int) -> DataFrame:
     """For each viewer: heard (members heard for less than `within`, itself included), members, quorum."""
     ok = F.count(F.when((F.lit(now_us) - F.col("heard_us") < within_us) & (F.col("viewer") != F.col("peer")), 1))

@@ -223,6 +223,45 @@ def backfill_summaries(spark: SparkSession, d: str) -> DataFrame:
     return C.backfill_summary(o)
 
 
+@query(
+    """WITH RECURSIVE w AS (SELECT o_custkey % 500 AS key, row_number() OVER (PARTITION BY o_custkey % 500 ORDER BY o_orderkey) AS i, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 2 END AS expected, (o_orderkey // 2) % 2 AS etag, o_orderkey AS value FROM orders),
+    s AS (SELECT k AS key, CASE WHEN k % 2 = 0 THEN k % 4 // 2 END AS etag, CASE WHEN k % 2 = 0 THEN -k END AS value, 0::BIGINT AS n, 0::BIGINT AS i FROM range(500) t(k)
+      UNION ALL SELECT s.key, CASE WHEN s.etag IS NOT DISTINCT FROM w.expected THEN w.etag ELSE s.etag END, CASE WHEN s.etag IS NOT DISTINCT FROM w.expected THEN w.value ELSE s.value END, s.n + (s.etag IS NOT DISTINCT FROM w.expected)::BIGINT, w.i FROM s JOIN w ON w.key = s.key AND w.i = s.i + 1)
+    SELECT key, arg_max(etag, i) AS etag, arg_max(value, i) AS value, max(n) AS n FROM s GROUP BY key HAVING arg_max(coalesce(etag, -1), i) >= 0"""
+)
+def conditional_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents after an ordered log of conditional writes, most of which come too late."""
+    from pyspark.sql import Window as W
+
+    o, key = A.table(spark, d, "orders"), F.col("o_custkey") % 500
+    i = F.row_number().over(W.partitionBy(key).orderBy("o_orderkey"))
+    writes = o.select(key.alias("key"), i.alias("i"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 2).alias("expected"), (F.floor(F.col("o_orderkey") / 2) % 2).alias("etag"), F.col("o_orderkey").alias("value"))
+    stored = spark.range(0, 500, 2).select(F.col("id").alias("key"), F.floor(F.col("id") % 4 / 2).alias("etag"), (-F.col("id")).alias("value"))
+    return J.apply_writes(stored, writes)
+
+
+@query(
+    """WITH b AS (SELECT 'n' || (user_id % 5) AS viewer, 'n' || (event_id % 7) AS peer, event_id * 10 AS at_us, CASE event_type WHEN 'error' THEN 'refused' WHEN 'view' THEN 'report' ELSE 'beat' END AS kind, 'i' || (event_id // 3000) AS incarnation, event_id * 31 % 977 AS position FROM events),
+    l AS (SELECT viewer, peer, max(at_us) FILTER (WHERE kind = 'beat') AS heard_us, arg_max(incarnation, at_us) FILTER (WHERE kind = 'beat') AS incarnation, max(at_us) FILTER (WHERE kind = 'refused') AS refused, max(at_us) FILTER (WHERE kind = 'report') AS reported_us FROM b GROUP BY ALL),
+    t AS (SELECT viewer, peer, incarnation, max(position) AS position FROM b WHERE kind = 'beat' GROUP BY ALL)
+    SELECT viewer, peer, heard_us, incarnation, position, coalesce(refused > coalesce(heard_us, -1), false) AS gone, reported_us FROM l LEFT JOIN t USING (viewer, peer, incarnation)"""
+)
+def beat_state(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import liveness as V
+
+    k = F.col("event_id")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    kind = F.when(F.col("event_type") == "error", "refused").when(F.col("event_type") == "view", "report").otherwise("beat")
+    return V.beat_state(A.table(spark, d, "events").select(name(F.col("user_id") % 5).alias("viewer"), name(k % 7).alias("peer"), (k * 10).alias("at_us"), kind.alias("kind"), F.concat(F.lit("i"), F.floor(k / 3000).cast("string")).alias("incarnation"), (k * 31 % 977).alias("position")))
+
+
+@query("SELECT l_orderkey AS db, count(*) FILTER (WHERE l_linenumber <= 2) AS l0_count, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS checkpoints FROM lineitem GROUP BY l_orderkey")
+def lsm_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    some = lambda c: F.collect_list(F.when(c, F.col("l_quantity").cast("long")))
+    shapes = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("db")).agg(some(F.col("l_linenumber") <= 2).alias("l0"), some(F.col("l_linenumber") % 2 == 0).alias("checkpoints"))
+    return C.lsm_totals(shapes.withColumn("runs", F.array().cast("array<array<bigint>>"))).select("db", "l0_count", "checkpoints")
+
+
 # --- scalars ---
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,9 @@ from pyspark.sql import SparkSession
 
 def work_path(spark: SparkSession, name: str) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:  # tests
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -42,3 +42,16 @@ def next_pages(listing: DataFrame, cursor: str | None, pages: int, page: int = 1
 def conditional_write(stored: DataFrame, expected: DataFrame) -> DataFrame:
     """Keys whose stored etag isn't the expected one: those writes would conflict."""
     return expected.join(stored.select("key", "etag"), ["key", "etag"], "left_anti")
+
+
+def apply_writes(stored: DataFrame, writes: DataFrame) -> DataFrame:
+    """stored (key, etag, value) after writes (key, i, expected, etag, value) in order of i, of which each takes effect
+    only if the document has the etag that it expects then (null: if there is none). A key's writes are a fold: the
+    state goes through them one by one. Returns key, etag, value and n, how many took effect."""
+    row = F.struct("i", "expected", "etag", "value")
+    per = writes.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("_writes"))
+    both = stored.select("key", F.col("etag").alias("_etag"), F.col("value").alias("_value")).join(per, "key", "full_outer")
+    first = F.struct(F.col("_etag").alias("etag"), F.col("_value").alias("value"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, w: F.when(s["etag"].eqNullSafe(w["expected"]), F.struct(w["etag"].alias("etag"), w["value"].alias("value"), (s["n"] + 1).alias("n"))).otherwise(s)
+    out = both.withColumn("_s", F.when(F.col("_writes").isNull(), first).otherwise(F.aggregate("_writes", first, step)))
+    return out.filter("_s.etag is not null").select("key", "_s.etag", "_s.value", "_s.n")
