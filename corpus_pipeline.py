@@ -1,4 +1,9 @@
-"""Documents to a training mix, in stages; each is written as Parquet and read again by the next one."""
+"""Documents to a training mix, in stages; each is written as Parquet and read again by the next one.
+
+Defined cases: an empty table passes every stage; null and empty texts, null ids, repeated rows, ties and very
+long texts are as each stage defines them (tidelog.llm.stages); other columns of documents are carried along to
+the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
