@@ -36,7 +36,7 @@ SAMPLE, TERMS, RANK = 4000, 20_000, 48
 NEIGHBOURS, POWER, BLOCK = 15, 4, 256
 THRESHOLD = 0.7
 #: Entries of so many characters at most that a worker remembers of words it has met.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 150_000, 64
 #: Cosines that differ by less are equal: blocks of products round in their own ways.
 SAME = 1e-9
 #: Kinds of terms, in a key's last two bits.
