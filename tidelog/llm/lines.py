@@ -70,7 +70,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
         self.spark, self.fanout, self.min_chars, self.min_docs = spark, fanout, min_chars, min_docs
         self.root = root or new_path(spark, "line-runs")
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[list[DataFrame]] = []
         self.known: list[str] = []
         self.names: list[str] = []
