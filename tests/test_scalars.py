@@ -89,3 +89,17 @@ def test_binary_keys(spark):
     assert bytes(one(spark, S.slot_range_keys(F.lit(0), F.lit(65536))["end"])) == b"\x02"
     assert one(spark, S.parse_shard_key(F.lit("4294967296"))) is None
     assert one(spark, S.list_pages(F.lit(1000))) == 2
+
+
+def test_numbers_past_32_bits_name_no_shard(spark, tmp_path):
+    import duckdb
+
+    from tidelog.plans import registry
+
+    assert one(spark, S.shard_key(F.lit(4294967295))) == "4294967295"
+    assert one(spark, S.shard_key(F.lit(10_000_200_000))) is None
+    spark.createDataFrame([(k,) for k in (0, 1, 14316, 14317, 33333, 33334, 900_000)], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    got = registry.QUERIES["shard_key"](spark, str(tmp_path)).select("c_custkey", "key", "shard").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.execute(registry.SQL["shard_key"]).fetchall())

@@ -51,7 +51,8 @@ def in_range(slot: Column, lo, hi) -> Column:
 
 
 def shard_key(shard: Column) -> Column:
-    return F.lpad(shard.cast("string"), 10, "0")
+    """Ten digits; null for a number that no 32 bits hold, whose first ten digits would name another shard."""
+    return F.when(_long(shard).between(0, MAX_U32), F.lpad(shard.cast("string"), 10, "0"))
 
 
 def parse_shard_key(key: Column) -> Column:
