@@ -204,3 +204,23 @@ def test_replays_of_parts_in_one_pass(spark):
     for k, part in enumerate(parts):
         want = L.backfill(log, segments, 95, 250, part)
         assert sorted(map(str, got.filter(F.col("part") == k).select("seq", "log_id", "ordinal").collect())) == sorted(map(str, want.select("seq", "log_id", "ordinal").collect()))
+
+
+def test_replays_of_parts_unite_to_one_row_a_seq(spark, tmp_path):
+    """Events of one writer and time have the same seq, whatever parts their slots are in."""
+    import duckdb
+
+    from tidelog.plans import registry
+
+    rows = spark.range(2400).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.floor(F.col("id") / 24) * 60).alias("ts"), (F.col("id") * 7 % 1200).alias("user_id"), F.lit("click").alias("event_type"), F.lit(0.5).alias("value"), F.lit("{}").alias("props"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute("set TimeZone = 'UTC'")
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in registry.QUERIES["shard_union"](spark, str(tmp_path)).select("seq", "log_id", "event_id").collect()]
+    want = duck.execute(f"select seq, log_id from ({registry.SQL['shard_union']})").fetchall()
+    assert sorted(r[:2] for r in got) == sorted(want)
+    least = {}
+    for event, user in rows.select("event_id", "user_id").collect():
+        least.setdefault((event // 24, user % 4), event)
+    assert all(event == least[event // 24, log] for _, log, event in got)

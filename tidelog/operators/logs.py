@@ -6,6 +6,8 @@ which are few next to events."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,11 +57,14 @@ def events(entries: DataFrame) -> DataFrame:
     return entries.filter(F.length("frame") > 0)
 
 
-def merge_logs(log: DataFrame) -> DataFrame:
-    """One row a seq; of logs that hold the same one, the first in listing order has it."""
-    others = [c for c in log.columns if c not in ("seq", "log_id")]
-    best = F.min_by(F.struct("log_id", *others), F.col("log_id"))
-    return log.groupBy("seq").agg(best.alias("_b")).select("seq", "_b.*")
+def merge_logs(log: DataFrame, *by: str) -> DataFrame:
+    """One row a seq (and `by`); of logs that hold the same one, the first in listing order has it, and of that log's
+    rows the first by ordinal and idx, where they are known, and the other columns."""
+    others = [c for c in log.columns if c not in ("seq", "log_id", *by)]
+    rank = [c for c in ("ordinal", "idx") if c in others]
+    rank += [c for c in others if c not in rank and not re.search("map<|variant", log.schema[c].dataType.simpleString())]
+    best = F.min_by(F.struct("log_id", *others), F.struct("log_id", *rank))
+    return log.groupBy(*by, "seq").agg(best.alias("_b")).select(*by, "seq", "_b.*")
 
 
 def backfill(log: DataFrame, segments: DataFrame, after: int, until: int, slots: tuple[int, int] | None = None) -> DataFrame:
@@ -78,9 +83,7 @@ def backfill_parts(log: DataFrame, segments: DataFrame, after: int, until: int,
     rows = log.filter((F.col("seq") > after) & (F.col("seq") <= until))
     own = F.array_compact(F.array(*[F.when((F.col("slot") >= lo) & (F.col("slot") < hi), F.lit(k)) for k, (lo, hi) in enumerate(parts)]))
     rows = rows.withColumn("part", F.explode(own)).join(wanted, ["log_id", "ordinal"], "left_semi")
-    others = [c for c in rows.columns if c not in ("seq", "part", "log_id")]
-    best = F.min_by(F.struct("log_id", *others), F.col("log_id"))
-    return rows.groupBy("part", "seq").agg(best.alias("_b")).select("part", "seq", "_b.*")
+    return merge_logs(rows, "part")
 
 
 def page_of(rows: DataFrame, max_bytes: int, size: str = "bytes", key: str = "seq", parts: int | None = None) -> DataFrame:
