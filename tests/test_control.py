@@ -159,6 +159,42 @@ def test_profiles_in_pprof(spark):
     assert P.decode(P.encode([], {}, [], 1)) == []
 
 
+def test_profiles_are_streamed(spark):
+    """Locations and samples of many stacks go into a file and out of it without being held."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tidelog.functions import pprof as P
+
+    tracemalloc.start()
+    w = P.Writer(524288)
+    n = 40_000
+    for a in range(n):
+        w.location(5 * a - 100, [f"f{a % 7}"] if a % 3 else [])
+    for k in range(0, n, 1000):
+        own = np.arange(k, k + 1000)
+        w.samples(np.full(1000, 2), np.stack([5 * own - 100, 5 * (n - 1 - own) - 100], 1).ravel(), own + 1, own << 30)
+    data = w.finish()
+    seen = 0
+    for k, (addresses, names, values) in enumerate(P.samples_of(data)):
+        pair = (k, n - 1 - k)
+        assert (addresses, names, values) == ([5 * a - 100 for a in pair], [f"f{a % 7}" for a in pair if a % 3], [k + 1, k << 30])
+        seen += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n
+    assert peak < 12_000_000
+
+    rows = spark.createDataFrame([("d", [30, 10, 20], 1, 8), ("d", [10, 10], 2, 16), ("d", [10, 10], 2, 16), ("e", [99], 3, 24), (None, [10], 4, 32), ("f", [], 5, 40)], "dump string, addrs array<long>, objs long, bytes long")
+    names = spark.createDataFrame([(10, "alloc"), (10, "inlined"), (30, "main"), (77, "unused")], "addr long, function string")
+    got = {r["dump"]: P.decode(bytes(r["profile"])) for r in H.pprof(rows, names, 1).collect()}
+    assert got == {
+        "d": [([10, 10], ["alloc", "inlined", "alloc", "inlined"], [2, 16]), ([10, 10], ["alloc", "inlined", "alloc", "inlined"], [2, 16]), ([30, 10, 20], ["main", "alloc", "inlined"], [1, 8])],
+        "e": [([99], [], [3, 24])], None: [([10], ["alloc", "inlined"], [4, 32])], "f": [([], [], [5, 40])],
+    }
+
+
 def test_window_of_a_listing(spark):
     ops = spark.createDataFrame([(i, f"p/{i}", "blob", 10 * i, 10 * i + 5, 1, i, 0) for i in range(10)], "i long, path string, component string, start long, end long, objects long, bytes long, uncertain long")
     captured = C.capture_window(ops, 25, 75, 3)

@@ -74,25 +74,57 @@ def dictionary(values: DataFrame, column: str) -> DataFrame:
 
 
 def pprof(stacks: DataFrame, symbols: DataFrame, rate: int) -> DataFrame:
-    """stacks (dump, addrs, objs, bytes) and symbols (addr, function) to dump, profile: a dump as one pprof file. A
-    dump is one process's, so a task holds what that process could list."""
+    """stacks (dump, addrs, objs, bytes) and symbols (addr, function) to dump, profile: a dump as one pprof file. Its
+    locations and then its stacks stream, sorted, into the file, so a task holds a file as it is compressed, the
+    names of functions and 8 bytes an address. An address of several functions has a line for each."""
     from collections.abc import Iterator
 
-    used = stacks.select("dump", F.explode("addrs").alias("addr")).distinct().join(symbols.select("addr", "function"), "addr")
-    names = used.groupBy("dump").agg(F.map_from_entries(F.collect_list(F.struct("addr", "function"))).alias("names"))
-    kept = stacks.groupBy("dump").agg(F.array_sort(F.collect_list(F.struct("addrs", "objs", "bytes"))).alias("stacks")).join(names, "dump", "left")
-    kept = kept.withColumn("names", F.map_entries("names"))
+    used = stacks.select("dump", F.explode("addrs").alias("addr")).distinct().join(symbols.select("addr", "function"), "addr", "left")
+    places = used.select("dump", F.lit(0).alias("kind"), F.array(F.col("addr").cast("long")).alias("addrs"), F.lit(0).cast("long").alias("objs"), F.lit(0).cast("long").alias("bytes"), "function")
+    samples = stacks.select("dump", F.lit(1).alias("kind"), F.coalesce(F.col("addrs").cast("array<bigint>"), F.array().cast("array<bigint>")).alias("addrs"), F.col("objs").cast("long").alias("objs"), F.col("bytes").cast("long").alias("bytes"), F.lit(None).cast("string").alias("function"))
+    rows = places.unionByName(samples).repartition("dump").sortWithinPartitions("dump", "kind", "addrs", "objs", "bytes", "function")
 
     def run(batches: Iterator) -> Iterator:
+        from itertools import groupby
+
+        import numpy as np
         import pyarrow as pa
 
-        from ..functions.pprof import encode
+        from ..functions.pprof import Writer
 
+        dump, file, place = None, None, None  # place: the last address and its functions; more may come
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([dump], kind_of), pa.array([file.finish()], pa.binary())], ["dump", "profile"])
         for batch in batches:
-            files = []
-            for found, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                files.append(encode([(s["addrs"], s["objs"], s["bytes"]) for s in found], {n["key"]: n["value"] for n in known or []}, [], rate))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["dump", "profile"])
-
-    kind = kept.schema["dump"].dataType.simpleString()
-    return kept.select("dump", "stacks", "names").mapInArrow(run, f"dump {kind}, profile binary")
+            kind_of, at = batch.schema.field("dump").type, 0
+            kinds = batch.column(1).to_numpy()
+            for own, run_of in groupby(zip(batch.column(0).to_pylist(), kinds.tolist(), strict=True)):
+                part = batch.slice(at, len(list(run_of)))
+                at += len(part)
+                if file is None or own[0] != dump:
+                    if file is not None:
+                        if place:
+                            file.location(*place)
+                        yield out()
+                    dump, file, place = own[0], Writer(rate), None
+                addrs = part.column(2)
+                flat = addrs.flatten().to_numpy()
+                if own[1] == 0:
+                    for a, f in zip(flat.tolist(), part.column(5).to_pylist(), strict=True):
+                        if place and place[0] != a:
+                            file.location(*place)
+                            place = None
+                        place = place or (a, [])
+                        if f is not None:
+                            place[1].append(f)
+                    continue
+                if place:
+                    file.location(*place)
+                    place = None
+                sizes = addrs.value_lengths().to_numpy().astype(np.int64)
+                file.samples(sizes, flat, part.column(3).to_numpy(), part.column(4).to_numpy())
+        if file is not None:
+            if place:
+                file.location(*place)
+            yield out()
+
+    return rows.mapInArrow(run, f"dump {rows.schema['dump'].dataType.simpleString()}, profile binary")

@@ -417,10 +417,15 @@ def pprof_totals(spark: SparkSession, d: str) -> DataFrame:
     def run(batches):
         import pandas as pd
 
-        from ..functions.pprof import decode
+        from ..functions.pprof import samples_of
 
         for df in batches:
-            rows = [(f, objs, size) for x in df["profile"] for _, names, (objs, size) in decode(bytes(x)) for f in set(names)]
-            yield pd.DataFrame(rows, columns=["function", "objs", "bytes"])
+            for x in df["profile"]:
+                totals = {}
+                for _, names, (objs, size) in samples_of(bytes(x)):
+                    for f in set(names):
+                        a, b = totals.get(f, (0, 0))
+                        totals[f] = (a + objs, b + size)
+                yield pd.DataFrame([(f, *v) for f, v in totals.items()], columns=["function", "objs", "bytes"])
 
     return files.select("profile").mapInPandas(run, "function string, objs long, bytes long").groupBy("function").agg(F.sum("objs").alias("objs"), F.sum("bytes").alias("bytes"))
